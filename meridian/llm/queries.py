@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
+from meridian.llm.secrets import secrets_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_secret_scans": secrets_query,
     "op7_ngram_jaccard_join": near_duplicates_query,
+    "op10_source_mixing": mixing_query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_source_mixing": MIXING_SQL,
+}

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.llm.decontaminate import decontamination_query
+from meridian.llm.language_id import language_query
 from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
 from meridian.llm.secrets import secrets_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": decontamination_query,
     "op6_secret_scans": secrets_query,
     "op7_ngram_jaccard_join": near_duplicates_query,
+    "op8_language_id": language_query,
     "op10_source_mixing": mixing_query,
 }
 

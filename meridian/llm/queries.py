@@ -6,20 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meridian.llm.chat import CHAT_SQL, chat_query
 from meridian.llm.decontaminate import decontamination_query
 from meridian.llm.language_id import language_query
 from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
+from meridian.llm.privacy import privacy_query
+from meridian.llm.quality import quality_query
 from meridian.llm.secrets import secrets_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": decontamination_query,
+    "op4_personal_data": privacy_query,
+    "op5_chat_formatting": chat_query,
     "op6_secret_scans": secrets_query,
     "op7_ngram_jaccard_join": near_duplicates_query,
     "op8_language_id": language_query,
+    "op9_quality_rules": quality_query,
     "op10_source_mixing": mixing_query,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_formatting": CHAT_SQL,
     "op10_source_mixing": MIXING_SQL,
 }

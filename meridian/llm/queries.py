@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from meridian.llm.chat import CHAT_SQL, chat_query
 from meridian.llm.decontaminate import decontamination_query
 from meridian.llm.language_id import language_query
+from meridian.llm.licences import licence_query
 from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
 from meridian.llm.privacy import privacy_query
 from meridian.llm.quality import quality_query
 from meridian.llm.secrets import secrets_query
+from meridian.llm.url_filters import url_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": url_query,
+    "op2_licence_scans": licence_query,
     "op3_benchmark_decontamination": decontamination_query,
     "op4_personal_data": privacy_query,
     "op5_chat_formatting": chat_query,

@@ -20,6 +20,7 @@ def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row a key, the least by ``order``: an aggregate of structs, combined before the shuffle.
     Rows with a null key are all kept, as nulls never conflict."""
     known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    order = tuple(c for c in order if c not in keys)
     rest = [c for c in df.columns if c not in (*keys, *order)]
     picked = df.where(known).groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_r")).select(*keys, "_r.*").select(*df.columns)
     return picked.unionByName(df.where(~known))

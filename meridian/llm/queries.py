@@ -12,6 +12,7 @@ from meridian.llm.language_id import language_query
 from meridian.llm.licences import licence_query
 from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
+from meridian.llm.oracles import DECONTAMINATION_SQL, NEAR_DUPLICATES_SQL
 from meridian.llm.privacy import privacy_query
 from meridian.llm.quality import quality_query
 from meridian.llm.secrets import secrets_query
@@ -31,6 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": DECONTAMINATION_SQL,
     "op5_chat_formatting": CHAT_SQL,
+    "op7_ngram_jaccard_join": NEAR_DUPLICATES_SQL,
     "op10_source_mixing": MIXING_SQL,
 }

@@ -31,8 +31,8 @@ BASE = {
 }
 WEAK = {
     "weak_id": r"""(?i:user_?name|user_?id|login|client_?id|account_?id|access_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]{3,}""",
-    "weak_secret": r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+|[0-9a-f]{16,23}+(?![A-Za-z0-9+/_-]))",
-    "weak_endpoint": r"(?<![A-Za-z0-9])(?:https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}:[0-9]{2,5})(?![A-Za-z0-9])",
+    "weak_secret": r"[A-Za-z0-9+/_-]{16,}",
+    "weak_endpoint": r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}:[0-9]{2,5}",
 }
 #: What a kind is in a credential.
 ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "weak_secret": "secret", "weak_endpoint": "endpoint"}
@@ -68,6 +68,12 @@ def _strong(text: Column) -> dict[str, Column]:
     }
 
 
+def _mixed(hit: Column) -> Column:
+    """A token that looks random: 20 or more characters of three classes, or 16 to 23 hex digits."""
+    three = (F.length(hit) >= 20) & F.rlike(hit, F.lit("[0-9]")) & F.rlike(hit, F.lit("[a-z]")) & F.rlike(hit, F.lit("[A-Z]"))
+    return three | F.rlike(hit, F.lit("^[0-9a-f]{16,23}$"))
+
+
 def _text_of(spans: Column) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -85,7 +91,7 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sc
     clean = docs.drop("secret_base", "secret_spans", "_key", "_parts")
     body = F.coalesce(F.col(text), F.lit(""))
     strong = _strong(body)
-    weak = F.concat(*(spans_of(body, k, p) for k, p in WEAK.items()))
+    weak = F.concat(*(spans_of(body, k, p, _mixed if k == "weak_secret" else None) for k, p in WEAK.items()))
     base = F.array_sort(F.concat(*strong.values()))
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), body)
     marked = clean.withColumns({"_key": key, "secret_base": base, "_parts": weak})
@@ -121,3 +127,29 @@ def secrets_query(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("secret_base", lambda x: x["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), F.sha2(_text_of(F.col("secret_base")), 256).alias("base_sha256"), _text_of(F.col("secret_spans")).alias("spans"))
+
+
+def _parts_sql() -> str:
+    """One SELECT a kind: the spans of its matches, from the texts between and of the matches."""
+    keep = {"assign": rf"length(regexp_extract(h, '{_quoted(BASE['assign'])}', 2)) >= 6", "access": "length(h) >= 20", "weak_secret": "(length(h) >= 20 AND regexp_matches(h, '[0-9]') AND regexp_matches(h, '[a-z]') AND regexp_matches(h, '[A-Z]')) OR regexp_full_match(h, '[0-9a-f]{16,23}')"}
+    one = []
+    for rank, (kind, pattern) in enumerate({**BASE, **WEAK}.items()):
+        q = _quoted(pattern)
+        one.append(f"SELECT r, '{kind}' AS kind, {rank} AS rank, '{ROLE[kind]}' AS role, s, s + length(h) AS e FROM (SELECT r, hits[i + 1] AS h, (list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i], lambda x: length(x))), 0))::BIGINT AS s FROM (SELECT r, regexp_extract_all(text, '{q}') AS hits, regexp_split_to_array(text, '{q}') AS gaps FROM d WHERE regexp_matches(text, '{q}')), range(len(hits)) t(i)) WHERE {keep.get(kind, 'true')}")
+    return "\nUNION ALL ".join(one)
+
+
+def _quoted(s: str) -> str:
+    return s.replace("'", "''")
+
+
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({_parts_sql()}),
+k AS (SELECT * FROM p WHERE rank < {len(BASE)} OR EXISTS (SELECT 1 FROM p q WHERE q.r = p.r AND (q.role = 'secret') <> (p.role = 'secret')
+  AND p.s <= q.e + 200 AND q.s <= p.e + 200 AND (p.e <= q.s OR q.e <= p.s))),
+g AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM k GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""

@@ -289,3 +289,16 @@ def test_licences(spark):
     assert len(got) == len(texts) + 2
     by = {r.doc_id: r.licences for r in got}
     assert [by[i] for i in range(60, 67)] == ["mit", "cc-by-nc", "gpl", "", "", "", "apache-2.0"] and not any(by[i] for i in range(60))
+
+
+def test_secrets_equal_sql_twin(spark, monkeypatch):
+    rng = random.Random(1)
+    bits = ["é ", "user_name=admin99 ", "deadbeefdeadbeef0 ", "https://h.example.com:80/x ", "db.host.io:5432 ", "password: hunter22 ", "AKIA" + "A1" * 10 + " ", "aB3" * 8 + " ", "filler " * 15, "token=ab ", "x" * 18 + " ", "login='bob' ", "\n"]
+    rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(150)] + [(900, None), (901, ""), (3, "AKIA" + "Z" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(secrets, "table", lambda *_: df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy().tolist()))
+    got = secrets.secrets_query(spark, "").toPandas()
+    assert key(got) == key(con.sql(secrets.SECRETS_SQL).df()) and got["spans"].str.contains("weak_endpoint").any()

@@ -16,7 +16,7 @@ from meridian.llm.oracles import DECONTAMINATION_SQL, NEAR_DUPLICATES_SQL
 from meridian.llm.privacy import privacy_query
 from meridian.llm.quality import quality_query
 from meridian.llm.secrets import SECRETS_SQL, secrets_query
-from meridian.llm.url_filters import url_query
+from meridian.llm.url_filters import URL_SQL, url_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_query,
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_filters": URL_SQL,
     "op3_benchmark_decontamination": DECONTAMINATION_SQL,
     "op5_chat_formatting": CHAT_SQL,
     "op6_secret_scans": SECRETS_SQL,

@@ -47,7 +47,9 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def shape(path: Column, depth: int) -> Column:
     """Segments of a path, variable ones as wildcards; what lies below ``depth`` is one segment."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "{hex}"), r"[0-9]+", "{n}"))
+    stem = lambda s: F.regexp_extract(s, r"^[^.]*", 0)
+    hexed = lambda s: F.when(F.rlike(stem(s), F.lit("^[0-9a-fA-F-]{8,}$")) & F.rlike(stem(s), F.lit("[0-9]")), F.concat(F.lit("{hex}"), F.substring(s, F.length(stem(s)) + 1, F.length(s)))).otherwise(s)
+    general = F.transform(parts, lambda s: F.regexp_replace(hexed(s), "[0-9]+", "{n}"))
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit(_REST)))).otherwise(general)
 
 
@@ -115,3 +117,41 @@ def judge_urls(pages: DataFrame, labels: DataFrame | None = None, rules=RULES, u
 def url_query(spark, sf_dir: str) -> DataFrame:
     """op1: verdicts on all page URLs."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
+
+
+def _tree_sql(depth: int = 5, crowd: int = 50, little: float = 0.01, similar: float = 1.96, smooth: float = 8.0) -> str:
+    """The tree as common table expressions, one group of them a level."""
+    levels = []
+    for k in range(depth + 1):
+        levels.append(f"""
+c{k} AS (SELECT host, template, shape[{k + 1}] AS seg, sum(n) AS n, sum(lab) AS lab, sum(bad) AS bad FROM n{k} GROUP BY ALL),
+f{k} AS (SELECT host, template, count(seg) AS fan, sum(n) AS pn, sum(lab) AS plab, sum(bad) AS pbad FROM c{k} GROUP BY ALL),
+r{k} AS (SELECT c.*, fan, pn, pbad / nullif(plab, 0) AS rate, bad / nullif(lab, 0) AS mine FROM c{k} c JOIN f{k} f ON c.host = f.host AND c.template = f.template),
+m{k} AS (SELECT host, template, seg, lab, bad, CASE WHEN seg IS NOT NULL AND ((fan > {crowd} AND n < {little}::DOUBLE * pn) OR coalesce(lab >= 5 AND abs(mine - rate) <= {similar}::DOUBLE * sqrt(rate * (1 - rate) / nullif(lab, 0)), false)) THEN '*' ELSE seg END AS dest FROM r{k}),
+b{k} AS (SELECT host, template, dest, sum(lab) AS blab, sum(bad) AS bbad FROM m{k} GROUP BY ALL),
+n{k + 1} AS (SELECT host, shape, n, lab, bad, p, own, template FROM n{k} WHERE shape[{k + 1}] IS NULL
+  UNION ALL SELECT x.host, x.shape, x.n, x.lab, x.bad, (bbad + {smooth}::DOUBLE * p) / (blab + {smooth}::DOUBLE), blab, list_append(x.template, m.dest)
+  FROM n{k} x JOIN m{k} m ON x.host = m.host AND x.template = m.template AND x.shape[{k + 1}] = m.seg JOIN b{k} b ON b.host = m.host AND b.template = m.template AND b.dest = m.dest)""")
+    return ",".join(levels)
+
+
+def _rules_sql(what: int) -> str:
+    best = sorted(RULES, key=lambda r: -len(r[0]))
+    test = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    return "CASE " + " ".join(f"WHEN {test(r[0])} THEN '{r[what]}'" for r in best) + " END"
+
+
+URL_SQL = rf"""
+WITH a AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+g AS (SELECT *, {_rules_sql(0)} AS rule, {_rules_sql(1)} AS say, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+  lambda x: regexp_replace(CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}(\.|$)') AND regexp_matches(regexp_extract(x, '^[^.]*'), '[0-9]') THEN '{{hex}}' || substr(x, length(regexp_extract(x, '^[^.]*')) + 1) ELSE x END, '[0-9]+', '{{n}}', 'g')) AS whole FROM h),
+u AS (SELECT * EXCLUDE (whole), CASE WHEN len(whole) > 5 THEN list_append(whole[1:5], '{_REST}') ELSE whole END AS shape, CASE WHEN rule IS NOT NULL THEN (say = 'block')::INT END AS label FROM g),
+base AS (SELECT host, shape, count(*) AS n, count(label) AS lab, coalesce(sum(label), 0) AS bad, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS site FROM u GROUP BY ALL),
+w AS (SELECT (sum(bad) + 1.0::DOUBLE) / (sum(lab) + 2.0::DOUBLE) AS prior FROM base),
+s1 AS (SELECT site, (sum(bad) + 8.0::DOUBLE * any_value(prior)) / (sum(lab) + 8.0::DOUBLE) AS p1 FROM base, w GROUP BY site),
+s2 AS (SELECT host, (sum(bad) + 8.0::DOUBLE * any_value(p1)) / (sum(lab) + 8.0::DOUBLE) AS p FROM base JOIN s1 USING (site) GROUP BY host),
+n0 AS (SELECT host, shape, n, lab, bad, p, 0::HUGEINT AS own, []::VARCHAR[] AS template FROM base JOIN s2 USING (host)),{_tree_sql()}
+SELECT page_id, u.host, path, rule, coalesce(say, CASE WHEN t.p >= 0.5 AND t.own >= 3 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(template, '/') AS template, round(t.p, 6) AS purity
+FROM u JOIN n6 t ON u.host = t.host AND u.shape = t.shape
+"""

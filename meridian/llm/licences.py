@@ -81,7 +81,8 @@ class Classifier:
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500) -> None:
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
         self.hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-        rows = stored(self.hashing.transform(training_rows(spark, docs, text, negatives)), "licence-training")
+        # some thousand rows: few partitions, as every iteration is a job over them
+        rows = stored(self.hashing.transform(training_rows(spark, docs, text, negatives)).coalesce(2), "licence-training")
         fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60)
         self.model = fit.fit(rows.where("not held or label > 0"))
         held = self._scored(rows.where("held and label = 0"))

@@ -218,3 +218,56 @@ def privacy_query(spark, sf_dir: str) -> DataFrame:
     found = find_personal(docs, terms, keep_text=False)
     count = lambda i: F.size(F.filter("pii", lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
     return found.select("doc_id", *map(count, range(4)), F.sha2(span_text(F.filter("pii", lambda x: x["kind"] < 4)), 256).alias("base_sha256"), span_text(F.col("pii")).alias("spans"))
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+#: The base patterns as they are stated, for the SQL twin.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _base_sql() -> str:
+    digits = "regexp_replace(x, '[^0-9]', '', 'g')"
+    each = f"list_transform(range(1, length({digits}) + 1), lambda j: CAST({digits}[length({digits}) - j + 1] AS INT) * (1 + (j + 1) % 2))"
+    keep = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(x, '.'), lambda o: CAST(o AS HUGEINT) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 16 AND 19 AND list_sum(list_transform({each}, lambda v: CASE WHEN v > 9 THEN v - 9 ELSE v END)) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 8 AND 15",
+    }
+    one = []
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        q = _q(pattern)
+        one.append(f"SELECT r, {rank} AS rank, '{kind}' AS kind, x, s, s + length(x) AS e FROM (SELECT r, hits[i + 1] AS x, (list_sum(list_transform(gaps[1:i + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(hits[1:i], lambda y: length(y))), 0))::BIGINT AS s FROM (SELECT r, regexp_extract_all(text, '{q}') AS hits, regexp_split_to_array(text, '{q}') AS gaps FROM d WHERE regexp_matches(text, '{q}')), range(len(hits)) t(i)) WHERE {keep[kind]}")
+    return "\nUNION ALL ".join(one)
+
+
+_WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOW_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PRIVACY_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({_base_sql()}),
+l AS (SELECT r, line, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 AS ls FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+q AS (SELECT p.*, line, ls, CASE WHEN kind IN ('card', 'phone') THEN kind || ':' || regexp_replace(x, '[ ().-]', '', 'g') ELSE kind || ':' || lower(x) END AS entity FROM p JOIN l ON l.r = p.r AND p.s >= ls AND p.e <= ls + length(line)),
+z AS (SELECT r, ls, any_value(line) AS line, list_reduce(list_prepend(any_value(line), list(DISTINCT x)), lambda a, b: replace(a, b, repeat(' ', length(b)))) AS clear FROM q GROUP BY r, ls),
+v AS (SELECT r, ls, unnest(list_distinct(list_filter(regexp_extract_all({_LOW_SQL.format('clear')}, '{_WORD_SQL}'), lambda w: strlen(w) > 2))) AS term FROM z),
+j AS (SELECT entity, term, count(*) AS n_te, count(DISTINCT line) AS lines FROM q JOIN v USING (r, ls) GROUP BY entity, term HAVING lines >= 3),
+e AS (SELECT entity, count(*) AS n_e FROM q GROUP BY entity),
+k AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all({_LOW_SQL.format('line')}, '{_WORD_SQL}'))) AS term FROM l JOIN d USING (r) WHERE d.text <> '') WHERE term IN (SELECT term FROM j) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS total FROM l JOIN d USING (r) WHERE d.text <> ''),
+m AS (SELECT DISTINCT term FROM j JOIN e USING (entity) JOIN k USING (term), n WHERE n_e < total AND log2(total * n_te / (n_t * n_e)) / log2(total / n_e) >= 0.8),
+w AS (SELECT r, h, (list_sum(list_transform(gaps[1:i + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(hits[1:i], lambda y: length(y))), 0))::BIGINT AS s FROM (SELECT r, hits, gaps, i, hits[i + 1] AS h FROM (SELECT r, regexp_extract_all(text, '[0-9A-Za-z\x{{80}}-\x{{10ffff}}]+') AS hits, regexp_split_to_array(text, '[0-9A-Za-z\x{{80}}-\x{{10ffff}}]+') AS gaps FROM d WHERE EXISTS (SELECT 1 FROM m)), range(len(hits)) t(i)) WHERE {_LOW_SQL.format('h')} IN (SELECT term FROM m)),
+b AS (SELECT r, rank, kind, s, e FROM p UNION ALL SELECT r, 4, 'term', s, s + length(h) FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.r = w.r AND p.s < w.s + length(w.h) AND w.s < p.e)),
+g AS (SELECT r, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY rank, s) AS spans FROM b GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (r)
+"""

@@ -13,7 +13,7 @@ from meridian.llm.licences import licence_query
 from meridian.llm.mixing import MIXING_SQL, mixing_query
 from meridian.llm.ngram_join import near_duplicates_query
 from meridian.llm.oracles import DECONTAMINATION_SQL, NEAR_DUPLICATES_SQL
-from meridian.llm.privacy import privacy_query
+from meridian.llm.privacy import PRIVACY_SQL, privacy_query
 from meridian.llm.quality import quality_query
 from meridian.llm.secrets import SECRETS_SQL, secrets_query
 from meridian.llm.url_filters import URL_SQL, url_query
@@ -34,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_url_filters": URL_SQL,
     "op3_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op4_personal_data": PRIVACY_SQL,
     "op5_chat_formatting": CHAT_SQL,
     "op6_secret_scans": SECRETS_SQL,
     "op7_ngram_jaccard_join": NEAR_DUPLICATES_SQL,

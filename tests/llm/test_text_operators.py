@@ -302,3 +302,28 @@ def test_secrets_equal_sql_twin(spark, monkeypatch):
     key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy().tolist()))
     got = secrets.secrets_query(spark, "").toPandas()
     assert key(got) == key(con.sql(secrets.SECRETS_SQL).df()) and got["spans"].str.contains("weak_endpoint").any()
+
+
+def test_pii_equals_sql_twin(spark, monkeypatch):
+    rng = random.Random(1)
+    ents = ["boss@acme.org", "10.0.0.1", "+1 (988) 555-2485", "4111 1111 1111 1111", "é a@b.c_d@e.f", "300.1.1.1"]
+    terms = ["Zeus", "Thor", "Odin", "Loki"]
+
+    def line():
+        w = [f"w{rng.randint(0, 9)}xx" for _ in range(rng.randint(0, 6))]
+        if rng.random() < 0.15:
+            k = rng.randrange(4)
+            w += [ents[k], terms[k]]
+        if rng.random() < 0.05:
+            w.append(rng.choice(ents + terms))
+        rng.shuffle(w)
+        return " ".join(w)
+
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 5)))) for i in range(200)] + [(900, None), (901, ""), (3, "x@y.zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(privacy, "table", lambda *_: df)
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy().tolist()))
+    got = privacy.privacy_query(spark, "").toPandas()
+    assert key(got) == key(con.sql(privacy.PRIVACY_SQL).df()) and got["spans"].str.contains("term").any()

@@ -6,7 +6,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Lower-cases A-Z only, byte by byte, so that UTF-8 sequences pass unchanged.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,3 +56,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def hashed_sample(df: DataFrame, key: Column, n: int, total: int | None = None) -> DataFrame:
+    """About ``n`` rows of least hash, and never more: a threshold on the hash thins the rows where
+    they are, so that no task and not the driver gets more than some ``n`` of them to sort. The same
+    rows on every run; all rows where there are no more than ``n``."""
+    count = df.count() if total is None else total
+    share = min(1.0, 1.5 * n / max(1, count))
+    thin = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)))
+    thin = thin if share == 1.0 else thin.where(F.col("_hash") < int(share * (1 << 40)))
+    return thin.orderBy("_hash", *[c for c in df.columns]).limit(n).drop("_hash")

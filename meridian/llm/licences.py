@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stored, table
+from meridian.llm.common import hashed_sample, stored, table
 
 PASSAGE, STEP, FEATURES = 60, 30, 1 << 14
 UNKNOWN = "unknown"
@@ -68,7 +68,7 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
     made += [(0, f"{b} {t}. {a}") for t in _LIKE for b in _BEFORE for a in _AFTER]
     own = spark.sql("SELECT * FROM VALUES " + ",".join(f"({y}.0D, {_literal(t)})" for y, t in made) + " AS t(label, line)")
     # at most `negatives` documents teach the unknown class, least hash first
-    some = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"), F.col(text).alias("line")).orderBy("h").limit(negatives)
+    some = hashed_sample(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("line")), F.col("line"), negatives)
     like = F.exists(tokens(F.col("line")), lambda w: F.startswith(w, F.lit("licen")))
     plain = some.select(F.explode(F.split("line", "\n")).alias("line")).where(~like).select(F.lit(0.0).alias("label"), "line")
     rows = passages(own.unionByName(plain), "line", ["label"])

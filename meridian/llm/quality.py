@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import mix64, stored, table, texts
+from meridian.llm.common import hashed_sample, mix64, stored, table, texts
 
 #: Words found twice or more within windows of so many.
 REPEAT_WINDOW = 8
@@ -170,8 +170,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     names = [*COUNTS, *_MORE]
     rows = stored(measure(docs.drop("anomaly", "base_failed", "kept"), text, keep_text), "quality-counts")
     # the forest learns from a bounded sample: trees * leaf_sample rows, least hash first
-    sample = rows.where(~base_failed()).select(*names, F.xxhash64(F.lit(7), F.col(id_col)).alias("_h")).orderBy("_h", *names).limit(trees * leaf_sample)
-    data = sample.toPandas()
+    data = hashed_sample(rows.where(~base_failed()).select(id_col, *names), F.col(id_col), trees * leaf_sample).drop(id_col).toPandas()
     shuffled = data.sample(frac=1, random_state=7) if len(data) else data
     forest = spark.sparkContext.broadcast(IsolationForest(features({c: shuffled[c].to_numpy(np.float64) for c in names}), trees, leaf_sample))
     columns = rows.columns

@@ -118,3 +118,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert 103 not in kept or "abcdef99" not in kept[103].text
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == set(kept) and "pipeline" in __spark_entry__.queries()
+
+
+def test_hashed_sample_is_bounded_and_repeatable(spark):
+    from meridian.llm.common import hashed_sample
+
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(7)
+    a, b = (sorted(r.doc_id for r in hashed_sample(d, F.col("doc_id"), 200).collect()) for d in (df, df.repartition(3)))
+    assert a == b and len(a) == 200
+    assert hashed_sample(df, F.col("doc_id"), 9000).count() == 5000 and hashed_sample(df.where("false"), F.col("doc_id"), 5).count() == 0

@@ -1,9 +1,11 @@
 """Licence scans: a trained paragraph classifier, in DataFrame operations only.
 
 Paragraphs (lines, cut into overlapping passages of ``PASSAGE`` words where longer) become sparse
-binary features of word uni- and bigrams, hashed. A multinomial logistic regression with an L1
-penalty, trained on notices generated from the families' templates and on a bounded sample of corpus
-paragraphs as the unknown class, gives each passage's family. The unknown class is calibrated: a
+binary features: the uni- and bigrams of words that occur in training notices. A multinomial
+logistic regression with an L1 penalty, trained on notices generated from the families' templates
+and on a bounded sample of corpus paragraphs as the unknown class, gives each passage's family.
+Paragraphs without any word that the trained weights need for a family are not scored further: the
+bound that chooses those words proves that their prediction is the unknown class. The unknown class is calibrated: a
 family is predicted only above the probability that 99.9 % of held-out unknown passages stay below. A
 prediction counts once the family's template confirms it: the passage must hold most of a notice's
 bigrams, digits aside.
@@ -11,15 +13,17 @@ bigrams, digits aside.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridian.llm.common import hashed_sample, stored, table
 
-PASSAGE, STEP, FEATURES = 60, 30, 1 << 14
+PASSAGE, STEP = 60, 30
 UNKNOWN = "unknown"
 #: Public licence notices by family.
 TEMPLATES = {
@@ -39,18 +43,26 @@ _AFTER = ("", "See the file LICENSE for details.", "All rights reserved.", "Than
 _LIKE = ("The driver showed a licence to the officer", "The city renewed the licence of the public house", "the general public was free to use the library", "a licence fee is due every year", "she wrote a permission slip for the school trip", "the work is subject to the terms of the contract", "version 2 of the program was released under pressure", "a person may obtain a copy of the report free of charge", "creative people share common ground", "the warranty of the device covers two years")
 
 
+def _split(text: Column) -> Column:
+    """Lower-cased words of letters (and whatever is not ASCII), empty ones included."""
+    return F.split(F.lower(text), r"[\x00-\x60\x7B-\x7F]+", -1)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased words of letters; every run of digits is the word 0."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", " 0 "), r"[^\p{L}0]+", -1), lambda w: w != "")
+    """Lower-cased words of letters; digits separate words."""
+    return F.filter(_split(text), lambda w: w != "")
 
 
 def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def passages(docs: DataFrame, text: str, key: list[str]) -> DataFrame:
-    """(key columns, words, grams): one row a passage with a word."""
+def passages(docs: DataFrame, text: str, key: list[str], gate: list[str] | None = None) -> DataFrame:
+    """(key columns, words, grams): one row a passage with a word. ``gate``: only of lines that hold
+    one of these words."""
     lines = docs.select(*key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
+    if gate is not None:
+        lines = lines.where(F.arrays_overlap(_split(F.col("_line")), F.array(*map(F.lit, gate)).cast("array<string>")))
     words = lines.select(*key, tokens(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - PASSAGE + STEP - 1), F.lit(STEP))
     cut = words.select(*key, F.explode(F.transform(cuts, lambda i: F.slice("_w", i + 1, PASSAGE))).alias("words"))
@@ -76,18 +88,42 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
 
 
 class Classifier:
-    """The trained model and its calibrated threshold."""
+    """The trained model, its calibrated threshold and the words without which no family is likely."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500) -> None:
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
-        self.hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
         # some thousand rows: few partitions, as every iteration is a job over them
-        rows = stored(self.hashing.transform(training_rows(spark, docs, text, negatives)).coalesce(2), "licence-training")
+        rows = stored(training_rows(spark, docs, text, negatives).coalesce(2), "licence-training")
+        self.vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.where("label > 0"))
         fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60)
-        self.model = fit.fit(rows.where("not held or label > 0"))
-        held = self._scored(rows.where("held and label = 0"))
+        self.model = fit.fit(self.vectors.transform(rows).where("not held or label > 0"))
+        held = self._scored(self.vectors.transform(rows.where("held and label = 0")))
         quantile = held.agg(F.percentile("p", F.lit(0.999)).alias("q")).first().q
-        self.threshold = max(0.5, quantile or 0.0)
+        self.threshold = min(0.999, max(0.5, quantile or 0.0))
+        seen = rows.where("label = 0").select(F.explode("grams").alias("w")).where(F.col("w").isin([w for w in self.vectors.vocabulary if " " not in w]))
+        self.gate = self._needed(dict(map(tuple, seen.groupBy("w").count().collect())))
+
+    def _needed(self, common: dict[str, int]) -> list[str]:
+        """Words of which a passage must hold one to reach the threshold.
+
+        Left out are as many words as possible, those ``common`` in unknown passages first, while for each family the intercepts
+        and all positive weights of terms made of left-out words alone stay below the threshold's
+        logit: p_f / p_unknown = exp(margin), so p_f stays below the threshold."""
+        weights, bias = self.model.coefficientMatrix.toArray(), self.model.interceptVector.toArray()
+        terms = [t.split(" ") for t in self.vectors.vocabulary]
+        gains = [[max(0.0, float(weights[f][i] - weights[0][i])) for f in range(1, len(self.families))] for i in range(len(terms))]
+        limit = [math.log(self.threshold / (1 - self.threshold)) - float(bias[f] - bias[0]) for f in range(1, len(self.families))]
+        best: dict[str, float] = {}
+        for t, g in zip(terms, gains, strict=True):
+            for w in t:
+                best[w] = max(best.get(w, 0.0), *g)
+        out: set[str] = set()
+        for w in sorted(best, key=lambda w: (-common.get(w, 0), best[w], w)):
+            trial = out | {w}
+            sums = [sum(g[f] for t, g in zip(terms, gains, strict=True) if trial.issuperset(t)) for f in range(len(limit))]
+            if all(s < 0.99 * x for s, x in zip(sums, limit, strict=True)):
+                out = trial
+        return sorted(set(best) - out)
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         """Rows with ``p``, the largest probability of a family, and its ``family``."""
@@ -98,7 +134,7 @@ class Classifier:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with grams) that are predicted to be of a family, with p and family."""
-        return self._scored(self.hashing.transform(rows)).where(F.col("p") >= self.threshold)
+        return self._scored(self.vectors.transform(rows)).where(F.col("p") >= self.threshold)
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: float = 0.6, negatives: int = 500) -> DataFrame:
@@ -112,7 +148,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: f
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
     key = F.xxhash64(F.coalesce("_text", F.lit("")))
     model = Classifier(spark, rows, "_text", negatives)
-    found = model.predict(passages(rows.select(key.alias("_key"), "_text"), "_text", ["_key"]))
+    found = model.predict(passages(rows.select(key.alias("_key"), "_text"), "_text", ["_key"], model.gate))
     notices = spark.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(f)}, {_literal(t)})" for f, ts in TEMPLATES.items() for t in ts) + " AS t(family, notice)")
     notices = notices.select("family", F.array_distinct(bigrams(tokens(F.col("notice")))).alias("theirs"))
     hits = stored(found.select("_key", "family", F.array_distinct(bigrams(F.col("words"))).alias("mine")), "licence-hits").distinct()

@@ -51,6 +51,25 @@ def trails(edges: DataFrame, roots: DataFrame, hops: int, labels: list[str] | No
     return found
 
 
+def trail_counts(edges: DataFrame, roots: DataFrame, hops: int, labels: list[str] | None = None) -> DataFrame:
+    """(root, connected, length, n): how many rows ``trails`` has of each kind. The last hop is
+    counted and not listed: all ways on from a node, less those over an edge of the trail itself."""
+    kept = edges if labels is None else edges.where(F.col("type").isin(labels))
+    step = symmetric(kept).select(F.col("src").alias("at"), F.col("dst").alias("connected"), "edge_id")
+    front = roots.select("root", F.col("root").alias("at"), F.array().cast("array<long>").alias("path"))
+    ways = step.groupBy("at", "connected").agg(F.count("*").alias("w"))
+    found = None
+    for k in range(1, hops + 1):
+        every = front.groupBy("root", "at").agg(F.count("*").alias("c")).join(ways, "at").select("root", "connected", (F.col("c") * F.col("w")).alias("n"))
+        again = front.select("root", "at", F.explode("path").alias("edge_id")).join(step, ["at", "edge_id"]).select("root", "connected", F.lit(-1).cast("long").alias("n"))
+        rows = every.unionByName(again).groupBy("root", "connected").agg(F.sum("n").alias("n")).where("n > 0").select("root", "connected", F.lit(k).alias("length"), "n")
+        found = rows if found is None else found.unionByName(rows)
+        if k < hops:
+            nxt = front.join(step, "at").where(~F.array_contains("path", F.col("edge_id")))
+            front = _cut(nxt.select("root", F.col("connected").alias("at"), F.concat("path", F.array("edge_id")).alias("path")))
+    return found
+
+
 def reach(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
     """(root, node, distance): nodes within ``hops``, each at its least distance. Grows with the
     nodes reached, not with the ways to them."""

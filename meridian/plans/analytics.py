@@ -151,8 +151,8 @@ def khop_network(s, d):
 
 @query("typed_traversal", fx.with_sql("edges", f"+ {_SYM}, t AS (SELECT dst AS spot, [edge_id] AS path, 1 AS length FROM y WHERE src = 'S3' AND type IN ('A', 'R') UNION ALL SELECT dst, list_append(path, edge_id), length + 1 FROM t JOIN y ON spot = src AND type IN ('A', 'R') WHERE length < 3 AND NOT list_contains(path, edge_id)) SELECT spot AS connected, min(length) AS distance, count(*) AS n_paths FROM t GROUP BY spot", True))
 def typed_traversal(s, d):
-    t = graph.trails(fx.edges(s, d), s.createDataFrame([("S3",)], "root string"), 3, ["A", "R"])
-    return t.groupBy("connected").agg(F.min("length").alias("distance"), F.count("*").alias("n_paths"))
+    t = graph.trail_counts(fx.edges(s, d), s.createDataFrame([("S3",)], "root string"), 3, ["A", "R"])
+    return t.groupBy("connected").agg(F.min("length").alias("distance"), F.sum("n").alias("n_paths"))
 
 
 @query("reachable_nodes", fx.with_sql("edges", f"+ {_SYM}, t AS (SELECT 'S5' AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM t JOIN y ON node = src WHERE distance < 3) SELECT 'S5' AS root, node, min(distance) AS distance FROM t GROUP BY node", True))

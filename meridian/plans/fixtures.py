@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The moment that stands for "now" in every query.
 AS_OF = "2024-01-31 00:00:00"
@@ -55,11 +56,14 @@ def evidence(spark, d):
 
 
 def edges(spark, d):
-    """Stored relationships: one a supplier pair of successive parts of one order, small and dense."""
-    li = read(spark, d, "lineitem").where("l_linenumber <= 2 and l_orderkey % 20 = 1")
-    one = li.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("x"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("type"), "l_shipdate")
-    two = li.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("y"))
-    return one.join(two, "l_orderkey").select(F.col("l_orderkey").alias("edge_id"), F.concat(F.lit("S"), "x").alias("a"), F.concat(F.lit("S"), "y").alias("b"), "type", (F.col("q") / 50.0).alias("confidence"), (F.col("l_orderkey") % 3 != 0).alias("still_valid"), F.timestamp_add("HOUR", F.col("l_orderkey") % 720, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("last_confirmed"), (F.col("l_orderkey") % 7).alias("mention_count"))
+    """Stored relationships: a supplier pair of each two successive lines of every order. The id
+    tells order and first line: pairs that start at line 1 have the order's key."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", F.dense_rank().over(order).alias("i"))
+    one = li.select("l_orderkey", "i", F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("x"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("type"))
+    two = li.select("l_orderkey", (F.col("i") - 1).alias("i"), F.col("l_suppkey").alias("y"))
+    edge_id = F.col("l_orderkey") + (F.col("line").cast("long") - 1) * F.lit(1 << 40)
+    return one.join(two, ["l_orderkey", "i"]).select(edge_id.alias("edge_id"), F.concat(F.lit("S"), "x").alias("a"), F.concat(F.lit("S"), "y").alias("b"), "type", (F.col("q") / 50.0).alias("confidence"), (F.col("l_orderkey") % 3 != 0).alias("still_valid"), F.timestamp_add("HOUR", F.col("l_orderkey") % 720, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("last_confirmed"), (F.col("l_orderkey") % 7).alias("mention_count"))
 
 
 def queue(spark, d):

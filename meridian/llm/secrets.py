@@ -99,9 +99,10 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sc
     role = F.array(*(F.lit(ROLE[k]) for k in KINDS))
     part = lean.select("_key", F.explode(F.concat("secret_base", "_parts")).alias("p")).distinct()
     part = part.select("_key", "p", F.element_at(role, F.col("p.rank") + 1).alias("role"))
-    # partners are entered in every cell that their interval, widened by the scope, touches
+    # an asking part is entered in every cell of its interval, a partner in every cell that its
+    # interval, widened by the scope, touches: two that are near share a cell
     reach = part.select("_key", F.col("p.s").alias("ps"), F.col("p.e").alias("pe"), F.col("role").alias("prole"), F.explode(F.sequence(F.floor((F.col("p.s") - scope) / scope), F.floor((F.col("p.e") + scope) / scope))).alias("cell"))
-    asked = part.where(F.col("p.rank") >= len(BASE)).select("_key", "p", "role", F.floor(F.col("p.s") / scope).alias("cell"))
+    asked = part.where(F.col("p.rank") >= len(BASE)).select("_key", "p", "role", F.explode(F.sequence(F.floor(F.col("p.s") / scope), F.floor(F.col("p.e") / scope))).alias("cell"))
     near = (F.col("a.p.s") <= F.col("b.pe") + scope) & (F.col("b.ps") <= F.col("a.p.e") + scope)
     fits = (F.col("a.role") == "secret") != (F.col("b.prole") == "secret")
     apart = (F.col("a.p.e") <= F.col("b.ps")) | (F.col("b.pe") <= F.col("a.p.s"))

@@ -327,3 +327,15 @@ def test_pii_equals_sql_twin(spark, monkeypatch):
     key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).to_numpy().tolist()))
     got = privacy.privacy_query(spark, "").toPandas()
     assert key(got) == key(con.sql(privacy.PRIVACY_SQL).df()) and got["spans"].str.contains("term").any()
+
+
+def test_secrets_link_long_tokens_over_cells(spark):
+    token = "aB3" * 100
+    texts = [" " * 100 + token + " " * 10 + "user_name=admin99", " " * 190 + "aB3" * 13 + "z" + " " * 190 + "user_name=admin99", " " * 100 + token + " " * 201 + "user_name=admin99"]
+    texts += [" " * at + ("aB3" * 500)[:n] + " " * gap + "user_name=admin99" for at in (0, 150, 199, 200, 350) for n in (40, 250, 700) for gap in (1, 199, 200, 201)]
+    con = duckdb.connect()
+    con.register("documents", docs_of(spark, texts).select("doc_id", "text").toPandas().astype({"doc_id": "Int64"}))
+    want = {r[0]: r[-1] for r in con.sql(secrets.SECRETS_SQL).fetchall()}
+    found = secrets.find_secrets(docs_of(spark, texts))
+    got = {r[0]: r[1] for r in found.select("doc_id", secrets._text_of(F.col("secret_spans"))).collect()}
+    assert got == want and want[0].startswith("weak_secret:100:400,weak_id:410:") and want[1].startswith("weak_secret:190:") and want[2] == ""

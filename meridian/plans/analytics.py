@@ -95,8 +95,8 @@ def cosine_threshold(s, d):
 def cosine_topk_per_type(s, d):
     v = _vectors(s, d)
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
-    b = v.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("entity_id"), "label", "embedding")
-    return vectors.nearest_by_type(q, b, "label").select("query_id", "entity_id", F.round("similarity", 6).alias("similarity"))
+    b = v.select(F.col("vec_id").alias("entity_id"), "label", "embedding")
+    return vectors.nearest_by_type(q, b, "label", others=True).select("query_id", "entity_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("resolve_decision", """WITH c AS (SELECT vec_id AS uid, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 7 END AS lex_id, CASE WHEN vec_id % 3 <> 0 THEN vec_id % 10 / 10.0::DOUBLE END AS lex_sim, vec_id % 11 AS sem_id, vec_id % 13 / 12.0::DOUBLE AS sem_sim, CASE WHEN vec_id % 5 > 0 THEN vec_id % 5 * 40000.0::DOUBLE END AS dist, vec_id % 2 = 0 AS verified FROM embeddings),

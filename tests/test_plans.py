@@ -3,7 +3,7 @@
 import random
 
 from meridian.operators import graph
-from meridian.plans import fixtures
+from meridian.plans import analytics, fixtures
 
 
 def test_edges_take_every_order_and_line_pair(spark, tmp_path):
@@ -28,3 +28,10 @@ def test_trail_counts_equal_trails(spark):
     listed = graph.trails(e, roots, 3, ["T"]).groupBy("root", "connected", "length").count().collect()
     counted = graph.trail_counts(e, roots, 3, ["T"]).collect()
     assert sorted(map(tuple, listed)) == sorted(map(tuple, counted)) and len(counted) > 10
+
+
+def test_nearest_of_type_searches_all_other_rows(spark, tmp_path):
+    rows = [(0, "x", [1.0, 0.0]), (50, "x", [1.0, 0.1]), (1, "x", [0.0, 1.0]), (100, "y", [1.0, 0.0]), (2, "y", [-1.0, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = analytics.cosine_topk_per_type(spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.entity_id) for r in got) == [(0, 50), (50, 0), (100, 2)]

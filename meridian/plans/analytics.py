@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meridian.functions import geo, vector
+from meridian.functions import geo
 from meridian.operators import clusters, graph, ingest, relations, resolve, rollup, spatial, vectors
 from meridian.plans import fixtures as fx
 from meridian.plans.registry import query
@@ -197,8 +197,9 @@ def leader_clusters(s, d):
 
 @query("lsh_topk")
 def lsh_topk(s, d):
-    q = [float(x) for x in _vectors(s, d).where("vec_id = 0").first().embedding]
-    return vectors.lsh_top_k(_vectors(s, d), q, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    v = _vectors(s, d)
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.lsh_top_k(v, q, 10).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("cluster_revisions", fx.with_sql("records", "SELECT domain, slot, previous, new, round(new - previous, 6) AS delta FROM (SELECT domain, slot, new, lag(new) OVER (PARTITION BY domain ORDER BY slot) AS previous FROM (SELECT domain, date_trunc('hour', created_at) AS slot, round(avg(confidence), 4) AS new FROM records WHERE domain IS NOT NULL GROUP BY ALL)) WHERE previous IS NOT NULL AND previous <> new"))
@@ -209,7 +210,4 @@ def cluster_revisions(s, d):
 
 @query("vector_duplicates", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3")
 def vector_duplicates(s, d):
-    v = _vectors(s, d)
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("q"))
-    j = v.select(F.col("vec_id").alias("b"), "label", "embedding").join(F.broadcast(q), "label")
-    return j.where((F.col("a") != F.col("b")) & (vector.cosine(F.col("q"), F.col("embedding")) > 0.3)).select("a", "b")
+    return vectors.similar_pairs(_vectors(s, d), 0.3, "vec_id")

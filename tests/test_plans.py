@@ -2,7 +2,9 @@
 
 import random
 
-from meridian.operators import graph
+import numpy as np
+
+from meridian.operators import graph, vectors
 from meridian.plans import analytics, fixtures
 
 
@@ -35,3 +37,24 @@ def test_nearest_of_type_searches_all_other_rows(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = analytics.cosine_topk_per_type(spark, str(tmp_path)).collect()
     assert sorted((r.query_id, r.entity_id) for r in got) == [(0, 50), (50, 0), (100, 2)]
+
+
+def test_duplicates_and_lsh_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(160, 64))
+    v[7], v[9] = v[3] * 2, v[3] + 0.01
+    rows = [(i, "xy"[i % 2], [float(x) for x in r]) for i, r in enumerate(v)]
+    frame = spark.createDataFrame([*rows, (900, "x", [0.0] * 64), (901, "x", None)], "vec_id long, label string, embedding array<double>")
+    frame.write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    sim = u @ u.T
+    want = {(i, j) for i in range(160) for j in range(160) if i != j and sim[i, j] > 0.3}
+    assert {(3, 7), (7, 9)} <= want
+    for got in (analytics.vector_duplicates(spark, str(tmp_path)).collect(), vectors.similar_pairs(frame, 0.3, "vec_id", block=40).collect()):
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    found = {}
+    for r in analytics.lsh_topk(spark, str(tmp_path)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == {0, 50, 100, 150}
+    best = {q: set(np.argsort(-sim[q])[:10].tolist()) for q in found}
+    assert sum(len(best[q] & found[q]) for q in found) >= 0.9 * 40

@@ -11,10 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Relation verbs by lens.
-GENERAL = ("LOCATED_IN", "PART_OF", "MEMBER_OF", "ASSOCIATED_WITH", "LEADS", "OPPOSES", "SUPPORTS")
-FINANCIAL = ("OWNS", "FUNDS", "INVESTED_IN", "ACQUIRED", "TRADES_WITH", "SANCTIONED_BY")
-MILITARY = ("ATTACKED", "DEPLOYED_TO", "ALLIED_WITH", "SUPPLIES", "COMMANDS")
-VOCABULARY = frozenset((*GENERAL, *FINANCIAL, *MILITARY))
+GENERAL = ("OWNS", "WORKS_FOR", "OPERATES", "LOCATED_IN", "AFFILIATED_WITH", "ALLIED_WITH", "HOSTILE_TO", "ATTACKED", "FOUNDED_BY", "BORN_IN", "SPOKEN_AT", "CRITICIZED", "SUPPORTED")
+FINANCIAL = ("INVESTED_IN", "ACQUIRED", "SHORTING", "SUPPLIES", "LITIGATING_AGAINST", "BOARD_MEMBER_OF", "AFFILIATED_WITH", "WORKS_FOR", "FINANCES", "LOBBIED_BY", "FUNDED_BY", "SUED_BY", "MANUFACTURES", "REGULATES", "SUBSIDIARY_OF", "EXECUTIVE_OF")
+MILITARY = ("AT_WAR_WITH", "ATTACKED", "HOSTILE_TO", "TARGETING", "DEPLOYED_TO", "COMMANDS", "SANCTIONED_BY", "ALLIED_WITH", "OPERATES", "AFFILIATED_WITH", "SUPPLIED_ARMS_TO", "TRAINED_BY", "OCCUPYING", "DEFENDING", "BOMBED")
+INVESTIGATIVE = ("FLEW_ON", "VISITED_RESIDENCE", "PHOTOGRAPHED_WITH", "MENTIONED_IN_TESTIMONY", "EMPLOYED_BY", "FINANCED_BY", "SUBPOENAED", "ASSOCIATED_WITH", "LEGAL_COUNSEL_FOR")
+VOCABULARY = frozenset((*GENERAL, *FINANCIAL, *MILITARY, *INVESTIGATIVE))
 
 
 def lens(category: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _FEATURE = "struct<id:string,properties:struct<mag:double,place:string,time:bigint,updated:bigint,url:string,tsunami:int,title:string>,geometry:struct<type:string,coordinates:array<double>>>"
 #: Public knowledge-base properties and the relationship each stands for (fixed values).
-PROPERTIES = {"P17": "LOCATED_IN", "P27": "CITIZEN_OF", "P31": "INSTANCE_OF", "P108": "EMPLOYED_BY", "P127": "OWNED_BY", "P131": "LOCATED_IN", "P159": "HEADQUARTERED_IN", "P169": "LED_BY", "P355": "PARENT_OF", "P361": "PART_OF", "P463": "MEMBER_OF", "P749": "SUBSIDIARY_OF"}
+PROPERTIES = {"P17": "LOCATED_IN", "P131": "LOCATED_IN", "P127": "OWNED_BY", "P159": "HEADQUARTERED_IN", "P31": "INSTANCE_OF", "P361": "PART_OF", "P138": "NAMED_AFTER", "P607": "CONFLICT", "P108": "EMPLOYER", "P463": "MEMBER_OF", "P241": "MILITARY_BRANCH", "P137": "OPERATOR", "P355": "SUBSIDIARY", "P126": "MAINTAINED_BY", "P749": "PARENT_ORGANIZATION"}
 _GEONAMES = "geonameid bigint, name string, asciiname string, alternatenames string, latitude double, longitude double, feature_class string, feature_code string, country_code string, cc2 string, admin1 string, admin2 string, admin3 string, admin4 string, population bigint, elevation int, dem int, timezone string, modified date"
 
 

@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 
+from meridian import models
 from meridian.operators import graph, vectors
 from meridian.plans import analytics, fixtures
+from meridian.sources import readers
 
 
 def test_edges_take_every_order_and_line_pair(spark, tmp_path):
@@ -58,3 +60,8 @@ def test_duplicates_and_lsh_against_brute_force(spark, tmp_path):
     assert set(found) == {0, 50, 100, 150}
     best = {q: set(np.argsort(-sim[q])[:10].tolist()) for q in found}
     assert sum(len(best[q] & found[q]) for q in found) >= 0.9 * 40
+
+
+def test_fixed_tables_are_whole():
+    assert len(readers.PROPERTIES) == 15 and {"P138", "P607", "P241", "P137", "P126"} <= set(readers.PROPERTIES)
+    assert len(models.VOCABULARY) == 46 and {"WORKS_FOR", "OPERATES", "HOSTILE_TO", "EMPLOYED_BY"} <= models.VOCABULARY

@@ -1,12 +1,14 @@
 """Licence scans: a trained paragraph classifier, in DataFrame operations only.
 
-Paragraphs (lines, cut into overlapping passages of ``PASSAGE`` words where longer) become sparse
+Paragraphs (lines, and runs of non-empty lines, so that a wrapped notice is whole; cut into
+overlapping passages of ``PASSAGE`` words where longer) become sparse
 binary features: the uni- and bigrams of words that occur in training notices. A multinomial
 logistic regression with an L1 penalty, trained on notices generated from the families' templates
 and on a bounded sample of corpus paragraphs as the unknown class, gives each passage's family.
 Paragraphs without any word that the trained weights need for a family are not scored further: the
 bound that chooses those words proves that their prediction is the unknown class. The unknown class is calibrated: a
-family is predicted only above the probability that 99.9 % of held-out unknown passages stay below. A
+family is predicted only above the probability that 99.9 % of all unknown passages (of paragraphs
+that no licence word and no template marks) stay below, by a histogram of their scores. A
 prediction counts once the family's template confirms it: the passage must hold most of a notice's
 bigrams, digits aside.
 """
@@ -14,6 +16,7 @@ bigrams, digits aside.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -57,15 +60,23 @@ def bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
+def blocks(text: Column) -> Column:
+    """Runs of lines that hold more than blanks."""
+    return F.split(text, r"\n(?:[\x20\t\r]*\n)+", -1)
+
+
 def passages(docs: DataFrame, text: str, key: list[str], gate: list[str] | None = None) -> DataFrame:
-    """(key columns, words, grams): one row a passage with a word. ``gate``: only of lines that hold
-    one of these words."""
-    lines = docs.select(*key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_line"))
-    if gate is not None:
-        lines = lines.where(F.arrays_overlap(_split(F.col("_line")), F.array(*map(F.lit, gate)).cast("array<string>")))
+    """(key columns, words, grams): one row a passage with a word, of each line and of each run of
+    two or more lines. ``gate``: only passages that hold one of these words."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    runs = F.filter(blocks(body), lambda x: F.rlike(x, F.lit(r"\S[^\n]*\n\s*\S")))
+    lines = docs.select(*key, F.explode(F.concat(F.split(body, "\n", -1), runs)).alias("_line"))
+    gated = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, gate)).cast("array<string>"))
+    lines = lines if gate is None else lines.where(gated(_split(F.col("_line"))))
     words = lines.select(*key, tokens(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - PASSAGE + STEP - 1), F.lit(STEP))
     cut = words.select(*key, F.explode(F.transform(cuts, lambda i: F.slice("_w", i + 1, PASSAGE))).alias("words"))
+    cut = cut if gate is None else cut.where(gated(F.col("words")))
     return cut.select(*key, "words", F.concat("words", bigrams(F.col("words"))).alias("grams"))
 
 
@@ -73,6 +84,22 @@ def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def unmarked(docs: DataFrame, text: str) -> DataFrame:
+    """(line): the runs of lines without a word that starts like "licence"."""
+    like = F.exists(tokens(F.col("line")), lambda w: F.startswith(w, F.lit("licen")))
+    return docs.select(F.explode(blocks(F.coalesce(F.col(text), F.lit("")))).alias("line")).where(~like)
+
+
+def confirmed(words: Column, confirm: float) -> Column:
+    """Whether a passage holds the share ``confirm`` of the bigrams of any notice."""
+    mine, out = F.array_distinct(bigrams(words)), F.lit(False)
+    for notice in (t for ts in TEMPLATES.values() for t in ts):
+        w = re.findall("[a-z]+", notice.lower())
+        theirs = sorted({f"{x} {y}" for x, y in zip(w, w[1:], strict=False)})
+        out = out | (F.size(F.array_intersect(mine, F.array(*map(F.lit, theirs)))) / len(theirs) >= confirm)
+    return out
+
+
 def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: int) -> DataFrame:
     """(label index as double, grams, held boolean): generated notices and sampled paragraphs."""
     families = [UNKNOWN, *sorted(TEMPLATES)]
@@ -81,8 +108,7 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
     own = spark.sql("SELECT * FROM VALUES " + ",".join(f"({y}.0D, {_literal(t)})" for y, t in made) + " AS t(label, line)")
     # at most `negatives` documents teach the unknown class, least hash first
     some = hashed_sample(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("line")), F.col("line"), negatives)
-    like = F.exists(tokens(F.col("line")), lambda w: F.startswith(w, F.lit("licen")))
-    plain = some.select(F.explode(F.split("line", "\n")).alias("line")).where(~like).select(F.lit(0.0).alias("label"), "line")
+    plain = unmarked(some, "line").select(F.lit(0.0).alias("label"), "line")
     rows = passages(own.unionByName(plain), "line", ["label"])
     return rows.select("label", "grams", (F.pmod(F.xxhash64("grams"), F.lit(4)) == 0).alias("held"))
 
@@ -90,18 +116,29 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
 class Classifier:
     """The trained model, its calibrated threshold and the words without which no family is likely."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500) -> None:
+    def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500, confirm: float = 0.6) -> None:
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
         # some thousand rows: few partitions, as every iteration is a job over them
         rows = stored(training_rows(spark, docs, text, negatives).coalesce(2), "licence-training")
         self.vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.where("label > 0"))
         fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60)
         self.model = fit.fit(self.vectors.transform(rows).where("not held or label > 0"))
-        held = self._scored(self.vectors.transform(rows.where("held and label = 0")))
-        quantile = held.agg(F.percentile("p", F.lit(0.999)).alias("q")).first().q
-        self.threshold = min(0.999, max(0.5, quantile or 0.0))
         seen = rows.where("label = 0").select(F.explode("grams").alias("w")).where(F.col("w").isin([w for w in self.vectors.vocabulary if " " not in w]))
-        self.gate = self._needed(dict(map(tuple, seen.groupBy("w").count().collect())))
+        common = dict(map(tuple, seen.groupBy("w").count().collect()))
+        self.threshold = 0.5  # the least there is: passages without a word of its gate score below
+        self.threshold = self._calibrated(unmarked(docs, text), self._needed(common), confirm)
+        self.gate = self._needed(common)
+
+    def _calibrated(self, unknown: DataFrame, gate: list[str], confirm: float) -> float:
+        """The thousandth that at most one in a thousand unknown passages reaches."""
+        total = passages(unknown, "line", []).count()
+        high = self.predict(passages(unknown, "line", [], gate)).where(~confirmed(F.col("words"), confirm))
+        bins = dict(map(tuple, high.groupBy(F.least(F.floor(F.col("p") * 1000), F.lit(999)).cast("int")).count().collect()))
+        above, at = 0, 1000
+        while at > 500 and above + bins.get(at - 1, 0) <= total / 1000:
+            at -= 1
+            above += bins.get(at, 0)
+        return min(0.999, at / 1000)
 
     def _needed(self, common: dict[str, int]) -> list[str]:
         """Words of which a passage must hold one to reach the threshold.
@@ -141,13 +178,13 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: f
     """(id_col, n_paragraphs, licences, n_confirmed, n_unconfirmed), one row per row of ``docs``.
 
     ``licences``: the confirmed families, sorted and comma-joined, empty where none. Null and empty
-    texts have no paragraphs. Repeated rows get equal results; null ids are kept; other columns are
+    texts have no paragraphs; ``n_paragraphs`` counts lines. Repeated rows get equal results; null ids are kept; other columns are
     ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
     key = F.xxhash64(F.coalesce("_text", F.lit("")))
-    model = Classifier(spark, rows, "_text", negatives)
+    model = Classifier(spark, rows, "_text", negatives, confirm)
     found = model.predict(passages(rows.select(key.alias("_key"), "_text"), "_text", ["_key"], model.gate))
     notices = spark.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(f)}, {_literal(t)})" for f, ts in TEMPLATES.items() for t in ts) + " AS t(family, notice)")
     notices = notices.select("family", F.array_distinct(bigrams(tokens(F.col("notice")))).alias("theirs"))

@@ -339,3 +339,11 @@ def test_secrets_link_long_tokens_over_cells(spark):
     found = secrets.find_secrets(docs_of(spark, texts))
     got = {r[0]: r[1] for r in found.select("doc_id", secrets._text_of(F.col("secret_spans"))).collect()}
     assert got == want and want[0].startswith("weak_secret:100:400,weak_id:410:") and want[1].startswith("weak_secret:190:") and want[2] == ""
+
+
+def test_licences_wrapped_over_lines(spark):
+    plain = [f"the onen tion {i} heat of an ordinary text\nabout things number {i}" for i in range(60)]
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */\nint x;"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation\n\ncode"
+    by = {r.doc_id: r.licences for r in licences.scan(docs_of(spark, [*plain, bsd, gpl])).collect()}
+    assert [by[60], by[61]] == ["bsd", "gpl"] and not any(by[i] for i in range(60))

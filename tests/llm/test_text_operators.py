@@ -347,3 +347,14 @@ def test_licences_wrapped_over_lines(spark):
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation\n\ncode"
     by = {r.doc_id: r.licences for r in licences.scan(docs_of(spark, [*plain, bsd, gpl])).collect()}
     assert [by[60], by[61]] == ["bsd", "gpl"] and not any(by[i] for i in range(60))
+
+
+def test_jaccard_rows_without_or_with_shared_ids(spark):
+    from meridian.llm import ngram_join
+
+    w = [f"w{i}" for i in range(120)]
+    a, c, b = w[:100], w[10:110], w[20:120]
+    rows = [(1, " ".join(a)), (None, " ".join(c)), (2, " ".join(b)), (3, " ".join(["x", *w[60:]])), (3, "other " * 30), (4, "y " + " ".join(w[62:]) + " z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got[1, 96] == 1 and got[2, 96] == 1 and got[None, 96] is None

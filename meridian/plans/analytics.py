@@ -91,7 +91,7 @@ def cosine_threshold(s, d):
     return vectors.above(_vectors(s, d), _first(s, d), 0.35).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("cosine_topk_per_type", "SELECT q AS query_id, e AS entity_id, round(sim, 6) AS similarity FROM (SELECT a.vec_id AS q, b.vec_id AS e, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0) WHERE n = 1")
+@query("cosine_topk_per_type", "SELECT q AS query_id, e AS entity_id, round(sim, 6) AS similarity FROM (SELECT a.vec_id AS q, b.vec_id AS e, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id) WHERE n = 1")
 def cosine_topk_per_type(s, d):
     v = _vectors(s, d)
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query"))
@@ -149,7 +149,16 @@ def khop_network(s, d):
     return graph.trails(fx.edges(s, d), s.createDataFrame([("S5",)], "root string"), 2)
 
 
-@query("typed_traversal", fx.with_sql("edges", f"+ {_SYM}, t AS (SELECT dst AS spot, [edge_id] AS path, 1 AS length FROM y WHERE src = 'S3' AND type IN ('A', 'R') UNION ALL SELECT dst, list_append(path, edge_id), length + 1 FROM t JOIN y ON spot = src AND type IN ('A', 'R') WHERE length < 3 AND NOT list_contains(path, edge_id)) SELECT spot AS connected, min(length) AS distance, count(*) AS n_paths FROM t GROUP BY spot", True))
+_TYPED = """, z AS (SELECT edge_id, src, dst FROM y WHERE type IN ('A', 'R')),
+t1 AS (SELECT dst AS spot, edge_id AS e1 FROM z WHERE src = 'S3'),
+t2 AS (SELECT z.dst AS spot, e1, z.edge_id AS e2 FROM t1 JOIN z ON spot = src WHERE z.edge_id <> e1),
+w AS (SELECT src, dst, count(*) AS w FROM z GROUP BY src, dst),
+t3 AS (SELECT w.dst AS spot, sum(c * w) AS n FROM (SELECT spot, count(*) AS c FROM t2 GROUP BY spot) JOIN w ON spot = src GROUP BY w.dst
+  UNION ALL SELECT z.dst, -count(*) FROM t2 JOIN z ON spot = src AND z.edge_id IN (e1, e2) GROUP BY z.dst)
+SELECT spot AS connected, min(length)::INT AS distance, sum(n)::BIGINT AS n_paths FROM (SELECT spot, 1 AS length, count(*) AS n FROM t1 GROUP BY spot UNION ALL SELECT spot, 2, count(*) FROM t2 GROUP BY spot UNION ALL SELECT spot, 3, sum(n) FROM t3 GROUP BY spot HAVING sum(n) > 0) GROUP BY spot"""
+
+
+@query("typed_traversal", fx.with_sql("edges", f"+ {_SYM}{_TYPED}"))
 def typed_traversal(s, d):
     t = graph.trail_counts(fx.edges(s, d), s.createDataFrame([("S3",)], "root string"), 3, ["A", "R"])
     return t.groupBy("connected").agg(F.min("length").alias("distance"), F.sum("n").alias("n_paths"))
@@ -208,6 +217,6 @@ def cluster_revisions(s, d):
     return rollup.revisions(g, "domain", "slot", "c")
 
 
-@query("vector_duplicates", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3")
+@query("vector_duplicates", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3")
 def vector_duplicates(s, d):
     return vectors.similar_pairs(_vectors(s, d), 0.3, "vec_id")

@@ -82,6 +82,7 @@ def clusters(spark, d):
 
 
 _T0 = "TIMESTAMP '2024-01-01 00:00:00'"
+_LINES = "SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM lineitem"
 
 
 def _entity_sql(table, prefix, key, name, kind):
@@ -95,7 +96,7 @@ SQL = {
     "missions": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {list(c)}::VARCHAR[], {list(t)}::VARCHAR[], {str(e).lower()})" for a, b, c, t, e in MISSIONS) + ") AS t(focus_id, category, keywords, target_entities, is_active)",
     "entities": " UNION ALL ".join((_entity_sql("nation", "N", "n_nationkey", "n_name", "LOCATION"), _entity_sql("supplier", "S", "s_suppkey", "s_name", "ORGANIZATION"), _entity_sql("customer", "C", "c_custkey", "c_name", "PERSON"))),
     "evidence": "SELECT 'C' || o_custkey AS a, 'S' || l_suppkey AS b, l_returnflag AS type, 'global' AS client_id, o_orderkey AS uid, o_orderdate AS ts, CAST(substr(o_orderpriority, 1, 1) AS INT) / 10.0::DOUBLE AS trust FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
-    "edges": f"SELECT o.l_orderkey AS edge_id, 'S' || o.l_suppkey AS a, 'S' || t.l_suppkey AS b, o.l_returnflag AS type, o.l_quantity / 50.0::DOUBLE AS confidence, o.l_orderkey % 3 <> 0 AS still_valid, {_T0} + to_hours(o.l_orderkey % 720) AS last_confirmed, o.l_orderkey % 7 AS mention_count FROM lineitem o JOIN lineitem t ON o.l_orderkey = t.l_orderkey AND o.l_linenumber = 1 AND t.l_linenumber = 2 WHERE o.l_orderkey % 20 = 1",
+    "edges": f"SELECT o.l_orderkey + (o.l_linenumber - 1)::BIGINT * 1099511627776 AS edge_id, 'S' || o.l_suppkey AS a, 'S' || t.l_suppkey AS b, o.l_returnflag AS type, o.l_quantity / 50.0::DOUBLE AS confidence, o.l_orderkey % 3 <> 0 AS still_valid, {_T0} + to_hours(o.l_orderkey % 720) AS last_confirmed, o.l_orderkey % 7 AS mention_count FROM ({_LINES}) o JOIN ({_LINES}) t ON o.l_orderkey = t.l_orderkey AND t.i = o.i + 1",
     "queue": "SELECT event_id AS queue_id, ts AS created_at, CASE event_type WHEN 'purchase' THEN 'DONE' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'PROCESSING' ELSE 'PENDING' END AS status, CASE WHEN value > 200 THEN 'CRITICAL' WHEN value > 80 THEN 'HIGH' ELSE 'NORMAL' END AS priority, 'agent' || (user_id % 5) AS agent FROM events",
 }
 SQL["clusters"] = f"SELECT cluster_id, domain, client_id, uir_count, lon, lat, updated_at, CASE WHEN hot THEN 'CRITICAL' ELSE 'NORMAL' END AS priority, CASE WHEN uir_count >= 2 THEN 'ACTIVE' ELSE 'DORMANT' END AS status FROM (SELECT domain || '_' || client_id || '_' || CAST(floor(lon / 30) AS BIGINT) || '_' || CAST(floor(lat / 30) AS BIGINT) AS cluster_id, domain, client_id, count(*) AS uir_count, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat, max(created_at) AS updated_at, bool_or(coalesce(priority = 'CRITICAL', false)) AS hot FROM ({SQL['records']}) WHERE lon IS NOT NULL AND domain IS NOT NULL GROUP BY ALL)"

@@ -187,7 +187,7 @@ def triple_domain_having(s, d):
     return rollup.cross_domain(fx.records(s, d), "source_name", ("OSINT", "GEOINT", "SIGINT"))
 
 
-@query("entity_deep_dive", fx.with_sql("edges entities", "SELECT entity_id, name, string_agg(edge_id || ':' || type, ',' ORDER BY edge_id) AS history, count(*) AS n_edges FROM entities JOIN edges ON a = entity_id WHERE entity_type = 'ORGANIZATION' GROUP BY entity_id, name"))
+@query("entity_deep_dive", fx.with_sql("edges entities", "SELECT entity_id, name, string_agg(edge_id || ':' || type, ',' ORDER BY edge_id, type) AS history, count(*) AS n_edges FROM entities JOIN edges ON a = entity_id WHERE entity_type = 'ORGANIZATION' GROUP BY entity_id, name"))
 def entity_deep_dive(s, d):
     h = fx.edges(s, d).groupBy(F.col("a").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "type"))).alias("h"))
     e = fx.entities(s, d).where("entity_type = 'ORGANIZATION'").join(h, "entity_id")

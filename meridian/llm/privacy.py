@@ -77,34 +77,48 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
 
 
 def _contexts(t: str):
-    """(entity, line's words, line's hash) for each base span."""
-    spans = base_spans(t)
-    for kind, a, b in spans:
-        left, right = t.rfind("\n", 0, a) + 1, t.find("\n", b)
-        line = t[left : right if right >= 0 else len(t)]
-        value = re.sub(r"[\x20().-]", "", t[a:b]) if kind in (2, 3) else t[a:b].lower()
-        clear = list(line)
-        for _, x, y in spans:  # what is protected itself is no term
-            for i in range(max(x, left), min(y, left + len(line))):
-                clear[i - left] = " "
-        yield f"{KINDS[kind]}:{value}", {w for w in words_of("".join(clear).encode()) if len(w) > 2}, xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
+    """(line's hash, its entities, its terms) of each line that holds a base span: one walk over the
+    text, whatever the number of spans."""
+    spans = sorted((a, b, kind) for kind, a, b in base_spans(t))
+    i = end = 0
+    while i < len(spans):
+        left = t.rfind("\n", end, spans[i][0]) + 1 or end
+        end = t.find("\n", spans[i][1])
+        end = len(t) if end < 0 else end
+        entities, clear, at = set(), [], left
+        while i < len(spans) and spans[i][0] < end:
+            a, b, kind = spans[i]
+            value = re.sub(r"[\x20().-]", "", t[a:b]) if kind in (2, 3) else t[a:b].lower()
+            entities.add(f"{KINDS[kind]}:{value}")
+            clear.append(t[at:a])  # what is protected itself is no term
+            at = max(at, b)
+            i += 1
+        clear.append(t[at:end])
+        terms = {w for w in map(bytes.decode, words_of(" ".join(clear).encode())) if len(w) > 2}
+        yield xxhash.xxh3_64_intdigest(t[left:end].encode()) - (1 << 63), entities, terms
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", alpha: float = 0.8, remove: float = 0.95, support: int = 3, block: int = 1_000_000) -> DataFrame:
     """(term, share, action): terms that disclose over ``alpha`` of some entity's information, the
-    largest share, and 'remove' or 'generalise'. Copies of one line are one line of support."""
+    largest share, and 'remove' or 'generalise'. Copies of one line are one line of support. Terms
+    have three letters or digits at least.
+
+    Lines with entities give a row an entity and a row a term; pairs are made by line, of entities
+    and terms that have enough lines each. Null and empty texts have no lines."""
 
     def near(batches):
         for batch in batches:
-            rows = [(e, w.decode(), h) for t in texts(batch.column(0)) if t for e, words, h in _contexts(t.decode()) for w in [b"", *words]]
+            rows = [(h, own, v) for t in texts(batch.column(0)) if t for h, entities, terms in _contexts(t.decode()) for own, values in ((True, entities), (False, terms)) for v in values]
             cols = list(zip(*rows, strict=True)) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["entity", "term", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string())], ["line", "own", "value"])
 
     body = docs.select(text)
-    beside = stored(body.mapInArrow(near, "entity string, term string, line long").groupBy("entity", "term", "line").count(), "privacy-beside")
-    both = beside.groupBy("entity", "term").agg(F.sum("count").alias("n_te"), F.count("*").alias("lines"))
-    entities = both.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
-    pairs = stored(both.where(f"term <> '' and lines >= {support}"), "privacy-pairs")
+    beside = stored(body.mapInArrow(near, "line long, own boolean, value string").groupBy("line", "own", "value").agg(F.count("*").alias("n")), "privacy-beside")
+    each = stored(beside.groupBy("own", "value").agg(F.sum("n").alias("n"), F.count("*").alias("lines")).where(F.col("lines") >= support), "privacy-each")
+    entities = each.where("own").select(F.col("value").alias("entity"), F.col("n").alias("n_e"))
+    side = lambda own, name: beside.where(F.col("own") == own).join(each.where(F.col("own") == own).select("value"), "value", "left_semi").select("line", F.col("value").alias(name), "n")
+    joint = side(True, "entity").join(side(False, "term").drop("n"), "line")
+    pairs = stored(joint.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).where(F.col("lines") >= support), "privacy-pairs")
     wanted = pairs.select("term").distinct()
     n = wanted.count()
     blocks = max(1, -(-n // block))
@@ -170,7 +184,7 @@ def find_personal(docs: DataFrame, terms: DataFrame, text: str = "text", keep_te
                         for m in _TERM.finditer(s):
                             while at < len(base) and base[at][1] <= m.start():
                                 at += 1
-                            free = not any(a < m.end() and m.start() < b for a, b in base[at : at + 3])
+                            free = at == len(base) or base[at][0] >= m.end()
                             if free and m[0].translate(_LOWER).encode() in marked:
                                 more.add(m.span())
                     made.append([{"kind": x, "start": a, "end": b} for x, a, b in (*found, *((4, a, b) for a, b in sorted(more)))])
@@ -258,9 +272,10 @@ p AS ({_base_sql()}),
 l AS (SELECT r, line, sum(length(line) + 1) OVER (PARTITION BY r ORDER BY i) - length(line) - 1 AS ls FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
 q AS (SELECT p.*, line, ls, CASE WHEN kind IN ('card', 'phone') THEN kind || ':' || regexp_replace(x, '[ ().-]', '', 'g') ELSE kind || ':' || lower(x) END AS entity FROM p JOIN l ON l.r = p.r AND p.s >= ls AND p.e <= ls + length(line)),
 z AS (SELECT r, ls, any_value(line) AS line, list_reduce(list_prepend(any_value(line), list(DISTINCT x)), lambda a, b: replace(a, b, repeat(' ', length(b)))) AS clear FROM q GROUP BY r, ls),
-v AS (SELECT r, ls, unnest(list_distinct(list_filter(regexp_extract_all({_LOW_SQL.format('clear')}, '{_WORD_SQL}'), lambda w: strlen(w) > 2))) AS term FROM z),
-j AS (SELECT entity, term, count(*) AS n_te, count(DISTINCT line) AS lines FROM q JOIN v USING (r, ls) GROUP BY entity, term HAVING lines >= 3),
-e AS (SELECT entity, count(*) AS n_e FROM q GROUP BY entity),
+v AS (SELECT r, ls, unnest(list_distinct(list_filter(regexp_extract_all({_LOW_SQL.format('clear')}, '{_WORD_SQL}'), lambda w: length(w) > 2))) AS term FROM z),
+o AS (SELECT DISTINCT r, ls, line, entity FROM q),
+j AS (SELECT entity, term, count(*) AS n_te, count(DISTINCT line) AS lines FROM o JOIN v USING (r, ls) GROUP BY entity, term HAVING lines >= 3),
+e AS (SELECT entity, count(*) AS n_e FROM o GROUP BY entity),
 k AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all({_LOW_SQL.format('line')}, '{_WORD_SQL}'))) AS term FROM l JOIN d USING (r) WHERE d.text <> '') WHERE term IN (SELECT term FROM j) GROUP BY term),
 n AS (SELECT count(*)::DOUBLE AS total FROM l JOIN d USING (r) WHERE d.text <> ''),
 m AS (SELECT DISTINCT term FROM j JOIN e USING (entity) JOIN k USING (term), n WHERE n_e < total AND log2(total * n_te / (n_t * n_e)) / log2(total / n_e) >= 0.8),

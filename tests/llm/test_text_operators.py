@@ -145,6 +145,27 @@ def test_pii_terms_by_cooccurrence(spark):
     assert "boss@acme.org" not in clean[0] and "[EMAIL]" in clean[0] and "zeus" not in clean[alone] and clean[alone + 1] is None
 
 
+def test_pii_contexts_are_linear_in_spans():
+    import time
+
+    line = " ".join(f"user{i}@host{i}.org" for i in range(100_000))
+    start = time.time()
+    got = list(privacy._contexts(f"first\nnone here\n{line} tail\nlast x@y.zz word"))
+    assert time.time() - start < 30
+    assert [(len(e), t) for _, e, t in got] == [(100_000, {"tail"}), (1, {"last", "word"})]
+
+
+def test_pii_without_terms_is_the_base(spark):
+    """Switching the co-occurrence off changes the result: the method decides."""
+    texts = [f"call agent falcon {i} at +44 20 7946 0958 number {i}" for i in range(5)] + [f"other text {i} of no one" for i in range(80)] + ["falcon flies"]
+    docs = docs_of(spark, texts).withColumn("pii", F.lit("clash"))
+    found = lambda terms: {r.doc_id: len(r.pii) for r in privacy.find_personal(docs, terms).collect()}
+    terms = privacy.disclosing_terms(docs)
+    on, off = found(terms), found(terms.where("false"))
+    assert off[85] == 0 and on[85] == 1 and off[0] == 1 and on[0] > 1
+    assert privacy.disclosing_terms(docs.where("false")).count() == 0 and privacy.find_personal(docs.where("false"), terms).count() == 0
+
+
 # -- secrets -----------------------------------------------------------------------------------
 
 

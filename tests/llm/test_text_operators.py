@@ -300,6 +300,43 @@ def test_url_rules_and_tree(spark):
     assert url_filters.judge_urls(df.where("false")).count() == 0
 
 
+def test_url_evidence_decides_on_held_out_pages(spark):
+    """Pages whose evidence is hidden get the verdict that their template's other pages teach; with
+    no evidence at all nothing is blocked."""
+    rng = random.Random(9)
+    junk, prose = "<p>" + "a## b$$ c%% " * 20, "<p>" + "plain words of prose " * 20
+    rows = []
+    for i in range(600):
+        bad = i % 3 == 0
+        host = f"{rng.choice(['x', 'y'])}.{'junk' if bad else 'fair'}{i % 2}.org"
+        seen = i % 4 != 2
+        noise = rng.random() < 0.05
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de'])}/{i}.html", (junk if bad != noise else prose) if seen else None, bad, seen))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, bad boolean, seen boolean")
+    got = url_filters.judge_urls(df, html="html").collect()
+    held = [r for r in got if not r.seen]
+    assert sum((r.verdict == "block") == r.bad for r in held) >= 0.95 * len(held) and any(r.verdict == "block" for r in held)
+    assert {r.verdict for r in url_filters.judge_urls(df).collect()} == {"allow"}
+
+
+def test_url_verdicts_equal_sql_twin(spark, monkeypatch):
+    rng = random.Random(4)
+    segs = ["en", "de", "blog", "12", "deadbeef01", "x.html", "casino", "a7"]
+    hosts = ["a.org", "b.org", "Q.example.com", "www.example.com", "n.net", "free-bets.org", "long.org"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{'/'.join(rng.choice(segs) for _ in range(rng.randint(0, 4)))}", rng.choice(["<p>words of text", "###$$$", "", None])) for i in range(900)]
+    rows += [(1000 + i, f"http://long.org/{'/'.join('abcdefgh'[: i + 1])}", "text") for i in range(5)] + [(2000, None, None), (2001, "nope", "x"), (3, "http://a.org", "x"), (None, "http://b.org/q", None)]
+    rows += [(3000 + i, f"http://wide.org/{'s' * (i % 120 + 1)}/x/y{i % 7}/z", rng.choice(["text", "%%%%"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(url_filters, "table", lambda *_: df)
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    key = lambda f: sorted(map(tuple, f[sorted(f.columns)].astype(str).replace("nan", "None").replace("<NA>", "None").replace(r"^([0-9]+)[.]0$", r"\1", regex=True).to_numpy().tolist()))
+    got = url_filters.url_query(spark, "").toPandas()
+    got["page_id"] = got["page_id"].astype("Int64")
+    want = con.sql(url_filters.URL_SQL).df()
+    assert key(got) == key(want) and {"allow", "block"} <= set(got[got["rule"].isnull()]["verdict"])
+
+
 # -- licences ----------------------------------------------------------------------------------
 
 

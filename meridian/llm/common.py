@@ -21,17 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``, which every node can read.
 
-    Where the setting is missing (tests, a single machine) it is set to a folder in the warehouse,
-    never to a folder of one executor. Tables written here stay until the application's folder is
-    removed by whoever runs the cluster.
+    Where the setting is missing on a single machine (tests) it is set to a folder in the warehouse;
+    on a cluster, whose nodes need not share the warehouse, that is an error. Tables written here
+    stay until ``remove_scratch``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/meridian-{spark.sparkContext.applicationId}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes this application's intermediate tables; results that were not written are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends here, so a
     lost executor costs a re-read and not a re-run."""
@@ -59,11 +67,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def hashed_sample(df: DataFrame, key: Column, n: int, total: int | None = None) -> DataFrame:
-    """About ``n`` rows of least hash, and never more: a threshold on the hash thins the rows where
-    they are, so that no task and not the driver gets more than some ``n`` of them to sort. The same
-    rows on every run; all rows where there are no more than ``n``."""
+    """The ``n`` rows of least hash of ``key``, all where there are no more: the same rows on every
+    run. A threshold on the hash thins the rows where they are, so that no task and not the driver
+    gets many more than ``n`` of them to sort; it is raised while too few rows pass, as where many
+    rows share a key."""
     count = df.count() if total is None else total
+    hashed = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)))
     share = min(1.0, 1.5 * n / max(1, count))
-    thin = df.withColumn("_hash", F.pmod(F.xxhash64(F.lit(11), key), F.lit(1 << 40)))
-    thin = thin if share == 1.0 else thin.where(F.col("_hash") < int(share * (1 << 40)))
-    return thin.orderBy("_hash", *[c for c in df.columns]).limit(n).drop("_hash")
+    while share < 1.0 and hashed.where(F.col("_hash") < int(share * (1 << 40))).count() < n:
+        share = min(1.0, 8 * share)
+    thin = hashed if share == 1.0 else hashed.where(F.col("_hash") < int(share * (1 << 40)))
+    return thin.orderBy("_hash", *df.columns).limit(n).drop("_hash")
+
+
+#: ``scan`` folds blocks of so many elements: a fold copies its result at every step.
+_BLOCK = 256
+
+
+def scan(values: Column, step, zero: int = 0) -> Column:
+    """What ``step`` (of two int columns, associative) makes of all elements before each one: an
+    array of ints as long as ``values``, in time near to linear."""
+    first = F.array(F.lit(zero))
+    last = lambda a: F.element_at(a, -1)
+    fold = lambda a: F.aggregate(a, first, lambda acc, x: F.concat(acc, F.array(step(last(acc), x))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(_BLOCK))
+    inner = F.transform(starts, lambda at: fold(F.slice(values, at + 1, F.lit(_BLOCK))))
+    outer = lambda blocks: fold(F.transform(blocks, last))
+    # bound once each: a lambda's argument is evaluated once, its body's copies are not
+    whole = F.transform(F.array(inner), lambda blocks: F.flatten(F.zip_with(blocks, F.slice(outer(blocks), F.lit(1), F.size(blocks)), lambda b, o: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda v: step(o, v)))))
+    return F.element_at(whole, 1)

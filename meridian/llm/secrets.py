@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import stored, table
+from meridian.llm.common import scan, stored, table
 
 BASE = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -39,31 +39,48 @@ ROLE = {"assign": "secret", "access": "id", "hex": "secret", "weak_id": "id", "w
 KINDS = (*BASE, *WEAK)
 
 
-def spans_of(text: Column, kind: str, pattern: str, keep=None) -> Column:
-    """Array of (s, rank, e, kind) of the leftmost non-overlapping matches of ``pattern``, in code
-    points, end exclusive; ``keep``: of a match's text, whether it counts."""
-    empty = F.expr("cast(array() as array<struct<s:int,rank:int,e:int>>)")
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rank = KINDS.index(kind)
-
-    def step(acc, pair):
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        span = F.array(F.struct(start.alias("s"), F.lit(rank).alias("rank"), end.alias("e")))
-        kept = F.when(keep(pair["hit"]), F.concat(acc["out"], span)).otherwise(acc["out"]) if keep else F.concat(acc["out"], span)
-        return F.struct(end.alias("at"), kept.alias("out"))
-
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), folded).otherwise(empty)
+#: Literals of which a text, lower-cased, must hold one to match a pattern: cheap to look for.
+NEEDS = {
+    "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
+    "access": ("akia",),
+    "weak_id": ("user", "login", "client", "account", "access"),
+    "weak_endpoint": (":",),
+}
+_EMPTY = "cast(array() as array<struct<s:int,rank:int,e:int>>)"
 
 
-def _strong(text: Column) -> dict[str, Column]:
+def spans_of(text: Column, kind: str, pattern: str, keep=None, low: Column | None = None) -> Column:
+    """Array of (s, rank, e) of the leftmost non-overlapping matches of ``pattern``, in code points,
+    end exclusive; ``keep``: of a match's text, whether it counts; ``low``: the lower-cased text,
+    where the kind's literals are looked for first."""
+    gaps = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    rank = F.lit(KINDS.index(kind))
+    pairs = F.arrays_zip(F.transform(F.slice(gaps, F.lit(1), F.size(found)), F.length).alias("gap"), found.alias("hit"))
+
+    def placed(pairs: Column) -> Column:
+        before = scan(F.transform(pairs, lambda p: p["gap"] + F.length(p["hit"])), lambda a, b: a + b)
+        at = F.zip_with(pairs, before, lambda p, b: F.struct((b + p["gap"]).alias("s"), rank.alias("rank"), (b + p["gap"] + F.length(p["hit"])).alias("e"), p["hit"].alias("hit")))
+        kept = F.filter(at, lambda x: keep(x["hit"])) if keep else at
+        return F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["rank"].alias("rank"), x["e"].alias("e")))
+
+    spans = F.element_at(F.transform(F.array(pairs), placed), 1)
+    may = F.rlike(text, F.lit(pattern))
+    if low is not None and kind in NEEDS:
+        holds = F.lit(False)
+        for literal in NEEDS[kind]:
+            holds = holds | F.contains(low, F.lit(literal))
+        may = holds & may
+    if kind == "weak_secret":  # what counts holds a digit, or is a run of hexadecimal letters
+        may = (F.rlike(text, F.lit("[0-9]")) | F.rlike(text, F.lit("[a-f]{16}"))) & may
+    return F.when(may, spans).otherwise(F.expr(_EMPTY))
+
+
+def _strong(text: Column, low: Column) -> dict[str, Column]:
     value = BASE["assign"]
     return {
-        "assign": spans_of(text, "assign", value, lambda hit: F.length(F.regexp_extract(hit, value, 2)) >= 6),
-        "access": spans_of(text, "access", BASE["access"], lambda hit: F.length(hit) >= 20),
+        "assign": spans_of(text, "assign", value, lambda hit: F.length(F.regexp_extract(hit, value, 2)) >= 6, low),
+        "access": spans_of(text, "access", BASE["access"], lambda hit: F.length(hit) >= 20, low),
         "hex": spans_of(text, "hex", BASE["hex"]),
     }
 
@@ -80,22 +97,8 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["rank"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", scope: int = 200) -> DataFrame:
-    """All columns of ``docs`` plus ``secret_base`` and ``secret_spans``: arrays of
-    (s, rank, e), rank an index into ``KINDS``, ordered by s and rank.
-
-    Null texts count as empty and get empty arrays. Repeated rows and rows of one id each get their
-    own text's spans (rows are told apart by id and text hash). Null ids are kept. Columns of
-    ``docs`` with the same names as the two results are replaced. Empty tables give empty results.
-    """
-    clean = docs.drop("secret_base", "secret_spans", "_key", "_parts")
-    body = F.coalesce(F.col(text), F.lit(""))
-    strong = _strong(body)
-    weak = F.concat(*(spans_of(body, k, p, _mixed if k == "weak_secret" else None) for k, p in WEAK.items()))
-    base = F.array_sort(F.concat(*strong.values()))
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), body)
-    marked = clean.withColumns({"_key": key, "secret_base": base, "_parts": weak})
-    lean = stored(marked.where((F.size("_parts") > 0) & (F.size("_parts") + F.size("secret_base") > 1)).select("_key", "secret_base", "_parts"), "secret-parts")
+def _link(lean: DataFrame, scope: int) -> DataFrame:
+    """(_key, _linked): the weak parts of each text that stand near complementary ones."""
     role = F.array(*(F.lit(ROLE[k]) for k in KINDS))
     part = lean.select("_key", F.explode(F.concat("secret_base", "_parts")).alias("p")).distinct()
     part = part.select("_key", "p", F.element_at(role, F.col("p.rank") + 1).alias("role"))
@@ -107,25 +110,61 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sc
     fits = (F.col("a.role") == "secret") != (F.col("b.prole") == "secret")
     apart = (F.col("a.p.e") <= F.col("b.ps")) | (F.col("b.pe") <= F.col("a.p.s"))
     linked = asked.alias("a").join(reach.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a.cell") == F.col("b.cell")) & near & fits & apart, "left_semi")
-    added = linked.groupBy("_key").agg(F.collect_set("p").alias("_linked"))
-    whole = F.array_sort(F.concat("secret_base", F.coalesce("_linked", F.expr("cast(array() as array<struct<s:int,rank:int,e:int>>)"))))
+    return linked.groupBy("_key").agg(F.collect_set("p").alias("_linked"))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", scope: int = 200, keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (``keep_text=False``: but the text) plus ``secret_base`` and
+    ``secret_spans``: arrays of (s, rank, e), rank an index into ``KINDS``, ordered by s and rank.
+
+    Null texts count as empty and get empty arrays. Repeated rows and rows of one id each get their
+    own text's spans (rows are told apart by id and text hash). Null ids are kept. Columns of
+    ``docs`` with the same names as the two results are replaced. Empty tables give empty results.
+    Every text is matched once: rows are stored with their parts before these are linked.
+    """
+    clean = docs.drop("secret_base", "secret_spans", "_key", "_parts")
+    body = F.coalesce(F.col(text), F.lit(""))
+    low = F.lower(body)
+    weak = F.concat(*(spans_of(body, k, p, _mixed if k == "weak_secret" else None, low) for k, p in WEAK.items()))
+    base = F.array_sort(F.concat(*_strong(body, low).values()))
+    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), body)
+    kept = [c for c in clean.columns if keep_text or c != text]
+    marked = stored(clean.select(*kept, key.alias("_key"), base.alias("secret_base"), weak.alias("_parts")), "secret-marked")
+    asking = marked.where((F.size("_parts") > 0) & (F.size("_parts") + F.size("secret_base") > 1)).select("_key", "secret_base", "_parts")
+    added = stored(_link(asking, scope), "secret-links")
+    # links of at most 32 MB go to every task, more are joined by a shuffle
+    weight = added.agg(F.sum(F.size("_linked") * 24 + 64)).first()[0] or 0
+    added = F.broadcast(added) if weight <= 32 << 20 else added
+    whole = F.array_sort(F.concat("secret_base", F.coalesce("_linked", F.expr(_EMPTY))))
     return marked.join(added, "_key", "left").withColumn("secret_spans", whole).drop("_key", "_parts", "_linked")
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span of ``spans`` (ordered by start; overlaps merged) replaced."""
-    def step(acc, x):
-        grows = x["e"] > acc["at"]
-        gap = F.when(x["s"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.when(grows, x["e"]).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.when(grows, gap).otherwise("")).alias("out"))
+    """``text`` with every span of ``spans`` (ordered by start; overlaps merged) replaced.
+
+    Text is cut out in pieces of some hundred spans, and within these span by span, so that no
+    span costs a walk over the whole text."""
+    size = 256
+    ends = scan(F.transform(spans, lambda x: x["e"]), F.greatest)  # how far the spans before reach
+    told = F.zip_with(spans, ends, lambda x, at: F.struct(x["s"].alias("s"), F.greatest(x["e"], at).alias("e"), at.alias("at")))
+
+    def piece(block: Column) -> Column:
+        start, end = F.element_at(block, 1)["at"], F.element_at(block, -1)["e"]
+        part = F.substring(text, start + 1, end - start)
+        said = lambda cut: F.transform(block, lambda x: F.when(x["s"] >= x["at"], F.concat(F.substring(cut, x["at"] - start + 1, x["s"] - x["at"]), F.when(x["e"] > x["s"], F.lit(mark)).otherwise(""))).otherwise(""))
+        return F.array_join(F.element_at(F.transform(F.array(part), said), 1), "")
+
+    def whole(told: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(told) - 1, F.lit(size)), lambda i: F.slice(told, i + 1, F.lit(size)))
+        end = F.element_at(told, -1)["e"]
+        return F.concat(F.array_join(F.transform(blocks, piece), ""), F.substring(text, end + 1, F.length(text)))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(told), whole), 1)).otherwise(text)
 
 
 def secrets_query(spark, sf_dir: str) -> DataFrame:
     """op6: secret spans of all documents."""
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     count = lambda kind: F.size(F.filter("secret_base", lambda x: x["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, BASE), F.sha2(_text_of(F.col("secret_base")), 256).alias("base_sha256"), _text_of(F.col("secret_spans")).alias("spans"))
 

@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from meridian.llm.common import LOWER, mix64, table, texts
+from meridian.llm.common import LOWER, mix64, stored, table, texts
 
 HASHES = 3
 UNKNOWN = "und"
@@ -114,9 +113,10 @@ class BitmaskFilter:
 
 def train(labelled: DataFrame, min_share: float = 2e-5) -> BitmaskFilter:
     """The filter of ``labelled`` (text, lang); null texts or languages teach nothing."""
-    counts = gram_counts(labelled.where("text is not null and lang is not null").select("text", "lang"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    rows = counts.withColumn("share", share).where(F.col("share") >= min_share).select("lang", "gram").collect()
+    counts = stored(gram_counts(labelled.where("text is not null and lang is not null").select("text", "lang")), "language-grams")
+    # one row a language, joined back: no task gets a whole language
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    rows = counts.join(total, "lang").where(F.col("n") / F.col("total") >= min_share).select("lang", "gram").collect()
     grams: dict[str, list[int]] = {}
     for lang, gram in rows:
         grams.setdefault(lang, []).append(gram)

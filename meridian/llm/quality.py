@@ -84,15 +84,16 @@ def _average_path(n: float) -> float:
 
 
 class IsolationForest:
-    """Isolation trees in flat arrays. ``data`` is cut into one part a tree."""
+    """Isolation trees in flat arrays, each grown on ``leaf_sample`` rows drawn from ``data``, on all
+    where there are no more."""
 
     def __init__(self, data: np.ndarray, trees: int, leaf_sample: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        self.trees, self.norm = [], max(_average_path(min(leaf_sample, max(len(data), 1))), 1e-9)
+        size = min(leaf_sample, len(data))
+        self.trees, self.norm = [], max(_average_path(max(size, 1)), 1e-9)
         depth = int(np.ceil(np.log2(max(2, leaf_sample))))
-        for t in range(trees if len(data) else 0):
-            rows = data[t::trees] if len(data) >= 8 * trees else data
-            self.trees.append(self._grow(rows[:leaf_sample], depth, rng))
+        for _ in range(trees if len(data) else 0):
+            self.trees.append(self._grow(data[rng.choice(len(data), size, replace=False)], depth, rng))
 
     @staticmethod
     def _grow(rows: np.ndarray, limit: int, rng) -> tuple[np.ndarray, ...]:
@@ -171,8 +172,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     rows = stored(measure(docs.drop("anomaly", "base_failed", "kept"), text, keep_text), "quality-counts")
     # the forest learns from a bounded sample: trees * leaf_sample rows, least hash first
     data = hashed_sample(rows.where(~base_failed()).select(id_col, *names), F.col(id_col), trees * leaf_sample).drop(id_col).toPandas()
-    shuffled = data.sample(frac=1, random_state=7) if len(data) else data
-    forest = spark.sparkContext.broadcast(IsolationForest(features({c: shuffled[c].to_numpy(np.float64) for c in names}), trees, leaf_sample))
+    forest = spark.sparkContext.broadcast(IsolationForest(features({c: data[c].to_numpy(np.float64) for c in names}), trees, leaf_sample))
     columns = rows.columns
 
     def run(batches):

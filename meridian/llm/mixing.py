@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 def unit_hash(name: Column, seed: str) -> Column:
     """A number in (0, 1) from the first 52 bits of an MD5."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name.cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10).cast("double")
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary")), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / float(1 << 52)
 
 
@@ -56,17 +56,20 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, text: str = "
 
     ``quality`` (id_col, weight double) scales the keys: it must be positive; ids without a row, and
     null or non-positive weights, count as 1, several rows as their mean. Null texts have size 0; a
-    null source is a source of its own; null ids share one key. Repeated rows are sampled each for
-    itself, ties going by id and then size. An empty table gives an empty result.
+    null source is a source of its own; rows with a null id are drawn by their text. Repeated rows
+    are sampled each for itself, ties going by id and then size. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    id_ = F.col(id_col)
+    # the key's name: the id, or the text's hash where there is none
+    name = F.when(id_.isNotNull(), id_.cast("string")).otherwise(F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    base = docs.select(id_.alias("id"), name.alias("name"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
     if quality is not None:
-        w = quality.groupBy(F.col(id_col).alias("id")).agg(F.avg("weight").alias("weight"))
-        base = base.join(w, "id", "left")
+        w = quality.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("name")).agg(F.avg("weight").alias("weight"))
+        base = base.join(w, "name", "left")
     else:
         base = base.withColumn("weight", F.lit(1.0))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
-    key = -F.ln(unit_hash(F.col("id"), seed)) / weight
+    key = -F.ln(unit_hash(F.col("name"), seed)) / weight
     rows = stored(base.select("id", "source", "size", key.alias("key")).withColumn("bucket", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int")), "mix-rows")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("total")), share, cycle, cap)
@@ -102,7 +105,7 @@ MIXING_SQL = r"""
 WITH w AS (SELECT doc_id, avg(0.5 + quality) AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
+         -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)
            / coalesce(CASE WHEN weight > 0 THEN weight END, 1.0) AS key
   FROM documents LEFT JOIN w USING (doc_id)),
 s AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),

@@ -126,4 +126,25 @@ def test_hashed_sample_is_bounded_and_repeatable(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).repartition(7)
     a, b = (sorted(r.doc_id for r in hashed_sample(d, F.col("doc_id"), 200).collect()) for d in (df, df.repartition(3)))
     assert a == b and len(a) == 200
+    same = df.select(F.col("doc_id"), (F.col("doc_id") % 8).alias("key"))
+    assert hashed_sample(same, F.col("key"), 200).count() == 200 and hashed_sample(same, F.lit(None).cast("long"), 200).count() == 200
     assert hashed_sample(df, F.col("doc_id"), 9000).count() == 5000 and hashed_sample(df.where("false"), F.col("doc_id"), 5).count() == 0
+
+
+def test_jaccard_bridges_without_ids_on_any_partitioning(spark):
+    """A text that only a row without an id holds links its neighbours, and two texts of one id are
+    two sets, however the rows are dealt."""
+    w = [f"w{i}" for i in range(130)]
+    texts = [(1, w[:100]), (None, w[6:106]), (3, w[12:112]), (2, ["q", *w[60:120]]), (2, w[3:103]), (4, ["q", *w[60:119], "z"]), (5, ["solo"] * 3), (None, ["solo"] * 3)]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    sets = dict(enumerate(shingles(t) for _, t in rows))
+    up = dict(enumerate(range(len(rows))))
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                lo, hi = sorted((up[a], up[b]))
+                up = {k: lo if v == hi else v for k, v in up.items()}
+    want = sorted((i, len(sets[k]), None if i is None else min(rows[m][0] for m in up if up[m] == up[k] and rows[m][0] is not None)) for k, (i, _) in enumerate(rows) if i is not None)
+    for parts in (1, 2, 5):
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).where("doc_id is not null").collect()
+        assert sorted(map(tuple, got)) == want

@@ -1,16 +1,17 @@
 """Licence scans: a trained paragraph classifier, in DataFrame operations only.
 
 Paragraphs (lines, and runs of non-empty lines, so that a wrapped notice is whole; cut into
-overlapping passages of ``PASSAGE`` words where longer) become sparse
-binary features: the uni- and bigrams of words that occur in training notices. A multinomial
-logistic regression with an L1 penalty, trained on notices generated from the families' templates
-and on a bounded sample of corpus paragraphs as the unknown class, gives each passage's family.
-Paragraphs without any word that the trained weights need for a family are not scored further: the
-bound that chooses those words proves that their prediction is the unknown class. The unknown class is calibrated: a
-family is predicted only above the probability that 99.9 % of all unknown passages (of paragraphs
-that no licence word and no template marks) stay below, by a histogram of their scores. A
-prediction counts once the family's template confirms it: the passage must hold most of a notice's
-bigrams, digits aside.
+overlapping passages of ``PASSAGE`` words where longer) become sparse binary features: the uni- and
+bigrams of words that occur in training notices. A multinomial logistic regression with an L1
+penalty, trained on notices generated from the families' templates and on a bounded sample of corpus
+paragraphs as the unknown class, gives each passage's family. Paragraphs without any word that the
+trained weights need for a family are not scored further: the bound that chooses those words proves
+that their prediction is the unknown class.
+
+The unknown class is calibrated: a family is predicted only above the probability that 99.9 % of all
+unknown passages (of paragraphs that no licence word marks and that resemble no template) stay
+below, by a histogram of their scores. A prediction counts once the family's template confirms it:
+the passage must hold most of a notice's bigrams, digits aside.
 """
 
 from __future__ import annotations
@@ -28,18 +29,29 @@ from meridian.llm.common import hashed_sample, stored, table
 
 PASSAGE, STEP = 60, 30
 UNKNOWN = "unknown"
-#: Public licence notices by family.
+#: Public licence notices by family (fixed values).
 TEMPLATES = {
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License"),
+    "agpl": ("under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL"),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at", "SPDX-License-Identifier: Apache"),
+    "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD"),
     "cc-by": ("This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"),
     "cc-by-nc": ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"),
     "cc-by-sa": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
-    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"),
+    "cc0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "Released under CC0 1.0 Universal Public Domain Dedication"),
+    "epl-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the GNU General Public License version 2 or later", "SPDX-License-Identifier: GPL"),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Licensed under the ISC License", "SPDX-License-Identifier: ISC"),
+    "lgpl": ("This library is licensed under the GNU Lesser General Public License, version 2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL"),
+    "mit": ("Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0", "SPDX-License-Identifier: MPL"),
+    "unlicense": ("This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"),
 }
+#: A notice of at most so many bigrams is confirmed by all of them only.
+SHORT = 3
+#: The threshold is at most this, however sure the model is of unknown passages: confirmation follows.
+SUREST = 0.9
+#: A line that names a licence, whichever.
+_NAMED = r"licen[sc]ed under|under the [^\n]{0,60}licen[sc]e"
 #: What training puts around notices, and sentences that only sound like one.
 _BEFORE = ("", "This file is part of the project.", "Copyright 2019 the authors.", "All code in this directory:", "Note:")
 _AFTER = ("", "See the file LICENSE for details.", "All rights reserved.", "Thank you.")
@@ -90,17 +102,21 @@ def unmarked(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.explode(blocks(F.coalesce(F.col(text), F.lit("")))).alias("line")).where(~like)
 
 
-def confirmed(words: Column, confirm: float) -> Column:
-    """Whether a passage holds the share ``confirm`` of the bigrams of any notice."""
+def notice_bigrams(notice: str) -> list[str]:
+    """The distinct bigrams of a notice's words, sorted."""
+    w = re.findall("[a-z]+", notice.lower())
+    return sorted({f"{x} {y}" for x, y in zip(w, w[1:], strict=False)})
+
+
+def resembles(words: Column, share: float) -> Column:
+    """Whether a passage holds ``share`` of the bigrams of any notice."""
     mine, out = F.array_distinct(bigrams(words)), F.lit(False)
-    for notice in (t for ts in TEMPLATES.values() for t in ts):
-        w = re.findall("[a-z]+", notice.lower())
-        theirs = sorted({f"{x} {y}" for x, y in zip(w, w[1:], strict=False)})
-        out = out | (F.size(F.array_intersect(mine, F.array(*map(F.lit, theirs)))) / len(theirs) >= confirm)
+    for theirs in (notice_bigrams(t) for ts in TEMPLATES.values() for t in ts):
+        out = out | (F.size(F.array_intersect(mine, F.array(*map(F.lit, theirs)))) / len(theirs) >= share)
     return out
 
 
-def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: int) -> DataFrame:
+def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: int, confirm: float) -> DataFrame:
     """(label index as double, grams, held boolean): generated notices and sampled paragraphs."""
     families = [UNKNOWN, *sorted(TEMPLATES)]
     made = [(families.index(f), f"{b} {t}{e} {a}") for f, ts in TEMPLATES.items() for t in ts for b in _BEFORE for a in _AFTER for e in (".", "")]
@@ -109,7 +125,8 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
     # at most `negatives` documents teach the unknown class, least hash first
     some = hashed_sample(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("line")), F.col("line"), negatives)
     plain = unmarked(some, "line").select(F.lit(0.0).alias("label"), "line")
-    rows = passages(own.unionByName(plain), "line", ["label"])
+    # what resembles a notice is no example of the unknown, whether it says "licence" or not
+    rows = passages(own, "line", ["label"]).unionByName(passages(plain, "line", ["label"]).where(~resembles(F.col("words"), confirm / 2)))
     return rows.select("label", "grams", (F.pmod(F.xxhash64("grams"), F.lit(4)) == 0).alias("held"))
 
 
@@ -119,7 +136,7 @@ class Classifier:
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500, confirm: float = 0.6) -> None:
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
         # some thousand rows: few partitions, as every iteration is a job over them
-        rows = stored(training_rows(spark, docs, text, negatives).coalesce(2), "licence-training")
+        rows = stored(training_rows(spark, docs, text, negatives, confirm).coalesce(2), "licence-training")
         self.vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.where("label > 0"))
         fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60)
         self.model = fit.fit(self.vectors.transform(rows).where("not held or label > 0"))
@@ -130,15 +147,16 @@ class Classifier:
         self.gate = self._needed(common)
 
     def _calibrated(self, unknown: DataFrame, gate: list[str], confirm: float) -> float:
-        """The thousandth that at most one in a thousand unknown passages reaches."""
+        """The thousandth that at most one in a thousand unknown passages reaches, ``SUREST`` at most."""
         total = passages(unknown, "line", []).count()
-        high = self.predict(passages(unknown, "line", [], gate)).where(~confirmed(F.col("words"), confirm))
+        # lines of a wrapped notice resemble it without being unknown
+        high = self.predict(passages(unknown, "line", [], gate)).where(~resembles(F.col("words"), confirm / 2))
         bins = dict(map(tuple, high.groupBy(F.least(F.floor(F.col("p") * 1000), F.lit(999)).cast("int")).count().collect()))
         above, at = 0, 1000
         while at > 500 and above + bins.get(at - 1, 0) <= total / 1000:
             at -= 1
             above += bins.get(at, 0)
-        return min(0.999, at / 1000)
+        return min(SUREST, at / 1000)
 
     def _needed(self, common: dict[str, int]) -> list[str]:
         """Words of which a passage must hold one to reach the threshold.
@@ -175,11 +193,14 @@ class Classifier:
 
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: float = 0.6, negatives: int = 500) -> DataFrame:
-    """(id_col, n_paragraphs, licences, n_confirmed, n_unconfirmed), one row per row of ``docs``.
-
-    ``licences``: the confirmed families, sorted and comma-joined, empty where none. Null and empty
-    texts have no paragraphs; ``n_paragraphs`` counts lines. Repeated rows get equal results; null ids are kept; other columns are
-    ignored; an empty table gives an empty result.
+    """(id_col, n_paragraphs, licences, n_confirmed, n_unconfirmed, n_unknown), one row per row of
+    ``docs``.
+
+    ``licences``: the confirmed families, sorted and comma-joined, empty where none. A prediction is
+    confirmed by a share ``confirm`` of a notice's bigrams, of a notice of up to ``SHORT`` by all.
+    ``n_unknown``: of a document without a confirmed family, the lines that name some licence. Null
+    and empty texts have no paragraphs; ``n_paragraphs`` counts lines. Repeated rows get equal
+    results; null ids are kept; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
@@ -189,13 +210,20 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: f
     notices = spark.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(f)}, {_literal(t)})" for f, ts in TEMPLATES.items() for t in ts) + " AS t(family, notice)")
     notices = notices.select("family", F.array_distinct(bigrams(tokens(F.col("notice")))).alias("theirs"))
     hits = stored(found.select("_key", "family", F.array_distinct(bigrams(F.col("words"))).alias("mine")), "licence-hits").distinct()
-    checked = hits.join(F.broadcast(notices), "family").select("_key", "family", "mine", (F.size(F.array_intersect("mine", "theirs")) / F.size("theirs") >= confirm).alias("ok"))
+    wants = F.when(F.size("theirs") <= SHORT, F.size("theirs")).otherwise(F.ceil(F.size("theirs") * confirm))
+    checked = hits.join(F.broadcast(notices), "family").select("_key", "family", "mine", (F.size(F.array_intersect("mine", "theirs")) >= wants).alias("ok"))
     checked = checked.groupBy("_key", "family", "mine").agg(F.max("ok").alias("ok"))
-    per = checked.groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))), ",").alias("licences"), F.count_if("ok").alias("n_confirmed"), F.count_if(~F.col("ok")).alias("n_unconfirmed"))
-    count = F.when(F.length("_text") > 0, F.size(F.filter(F.split("_text", "\n", -1), lambda line: F.length(F.trim(line)) > 0))).otherwise(0).cast("long")
-    lean = rows.select(F.col(id_col), key.alias("_key"), F.coalesce(count, F.lit(0)).alias("n_paragraphs"))
+    per = stored(checked.groupBy("_key").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("family")))), ",").alias("licences"), F.count_if("ok").alias("n_confirmed"), F.count_if(~F.col("ok")).alias("n_unconfirmed")), "licence-texts")
+    # texts with hits, at most 32 MB, go to every task; more are joined by a shuffle
+    per = F.broadcast(per) if per.count() * 64 <= 32 << 20 else per
+    lines = F.split("_text", "\n", -1)
+    count = F.when(F.length("_text") > 0, F.size(F.filter(lines, lambda line: F.length(F.trim(line)) > 0))).otherwise(0).cast("long")
+    low = F.lower("_text")
+    named = F.when(F.contains(low, F.lit("licen")), F.size(F.filter(F.split(low, "\n", -1), lambda line: F.rlike(line, F.lit(_NAMED))))).otherwise(0).cast("long")
+    lean = rows.select(F.col(id_col), key.alias("_key"), F.coalesce(count, F.lit(0)).alias("n_paragraphs"), F.coalesce(named, F.lit(0)).alias("_named"))
     none = F.lit(0).cast("long")
-    return lean.join(per, "_key", "left").select(id_col, "n_paragraphs", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_confirmed", none).alias("n_confirmed"), F.coalesce("n_unconfirmed", none).alias("n_unconfirmed"))
+    licences = F.coalesce("licences", F.lit(""))
+    return lean.join(per, "_key", "left").select(id_col, "n_paragraphs", licences.alias("licences"), F.coalesce("n_confirmed", none).alias("n_confirmed"), F.coalesce("n_unconfirmed", none).alias("n_unconfirmed"), F.when(licences == "", F.col("_named")).otherwise(none).alias("n_unknown"))
 
 
 def licence_query(spark, sf_dir: str) -> DataFrame:

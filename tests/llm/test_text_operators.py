@@ -416,3 +416,44 @@ def test_jaccard_rows_without_or_with_shared_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.jaccard_components(df).collect()}
     assert got[1, 96] == 1 and got[2, 96] == 1 and got[None, 96] is None
+
+
+def test_licences_equal_brute_force_scorer(spark):
+    """Scores from the trained weights in plain Python, every passage, no gate; families beyond the
+    commonest, wrapped and unwrapped, on a corpus of few documents."""
+    import math
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [f"plain text {i} about the weather\nand the port of call" for i in range(40)]
+    special = [mit, wrap(mit, 7), "x\n\n// SPDX-License-Identifier: MIT\n\ny", "SPDX-License-Identifier: Foo-1.0", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies", "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the\nFree Software Foundation; either version 2 of the License, or any later version.", "Licensed under the Foo Bar Licence, see foo", "word " * 500 + "Released under the MIT License.", ""]
+    docs = docs_of(spark, [*texts, *special]).withColumn("licences", F.lit("clash"))
+    got = {r.doc_id: r for r in licences.scan(docs).collect() if r.doc_id is not None}
+    assert [got[40 + i].licences for i in range(len(special))] == ["mit", "mit", "mit", "", "isc", "gpl", "", "mit", ""]
+    assert [got[40 + i].n_unknown for i in range(len(special))] == [0, 0, 0, 0, 0, 0, 1, 0, 0]
+    model = licences.Classifier(spark, docs, "text")
+    weights, bias = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray()
+    at = {w: i for i, w in enumerate(model.vectors.vocabulary)}
+
+    def families(t):
+        out, runs = set(), [r for r in re.split(r"\n(?:[\x20\t\r]*\n)+", t) if re.search(r"\S[^\n]*\n\s*\S", r)]
+        for line in [*t.split("\n"), *runs]:
+            words = re.findall("[^\x00-\x60\x7b-\x7f]+", line.lower())
+            for i in range(0, max(1, len(words) - 30), 30):
+                w = words[i : i + 60]
+                pairs = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+                x = [at[g] for g in {*w, *pairs} if g in at]
+                margins = [bias[k] + sum(weights[k][i] for i in x) for k in range(len(bias))]
+                p = [math.exp(m - max(margins)) for m in margins]
+                best = max(range(1, len(p)), key=p.__getitem__)
+                if w and p[best] / sum(p) >= model.threshold:
+                    for notice in licences.TEMPLATES[model.families[best]]:
+                        theirs = licences.notice_bigrams(notice)
+                        need = len(theirs) if len(theirs) <= licences.SHORT else math.ceil(0.6 * len(theirs))
+                        if len(pairs & set(theirs)) >= need:
+                            out.add(model.families[best])
+        return ",".join(sorted(out))
+
+    for i, t in enumerate([*texts, *special]):
+        assert got[i].licences == families(t), t
+    assert licences.scan(docs.where("false")).count() == 0

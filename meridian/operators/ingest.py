@@ -43,23 +43,36 @@ def first_in_hour(df: DataFrame, key: str, time: str, *order: str) -> DataFrame:
     return first_by(hour, [key, "_hour"], time, *order).drop("_hour")
 
 
-def match_mission(records: DataFrame, missions: DataFrame, text: str, id_col: str) -> DataFrame:
+#: Terms that go to every task at once; more are matched in further blocks.
+TERM_BLOCK = 10_000
+
+
+def match_mission(records: DataFrame, missions: DataFrame, text: str, id_col: str, block: int = TERM_BLOCK) -> DataFrame:
     """Adds ``mission_id``: the least active mission of which a keyword or target is in the text.
 
-    Missions are a dimension table of at most some thousands of rows, sent to every task."""
+    The lower-cased terms of active missions are matched in blocks of at most ``block``; the text is
+    lower-cased once. Null texts and null terms match nothing."""
     terms = F.concat(F.coalesce("keywords", F.array()), F.coalesce("target_entities", F.array()))
-    active = missions.where("is_active").select("focus_id", terms.alias("terms"))
-    every = active.agg(F.array_sort(F.collect_list(F.struct("focus_id", "terms"))).alias("_missions"))
-    hit = F.filter("_missions", lambda m: F.exists(m["terms"], lambda t: F.contains(F.lower(F.col(text)), F.lower(t))))
-    return records.crossJoin(F.broadcast(every)).withColumn("mission_id", F.get(hit, F.lit(0))["focus_id"]).drop("_missions")
+    active = missions.where("is_active").select("focus_id", F.explode(terms).alias("t")).where("t is not null").select("focus_id", F.lower("t").alias("t")).distinct()
+    blocks = max(1, -(-active.count() // block))
+    dealt = active.withColumn("_b", F.pmod(F.xxhash64("focus_id", "t"), F.lit(blocks)))
+    out = records.drop("mission_id")
+    for k in range(blocks):
+        part = dealt.where(F.col("_b") == k).agg(F.array_sort(F.collect_list(F.struct("focus_id", "t"))).alias("_missions"))
+        first = lambda low: F.get(F.filter("_missions", lambda m: F.contains(low, m["t"])), F.lit(0))["focus_id"]
+        out = out.crossJoin(F.broadcast(part)).withColumn(f"_hit{k}", tx.bound(F.lower(F.col(text)), first)).drop("_missions")
+    hits = [f"_hit{k}" for k in range(blocks)]
+    return out.withColumn("mission_id", F.least(*hits) if blocks > 1 else F.col(hits[0])).drop(*hits)
 
 
 def domain_of(text: Column) -> Column:
-    return F.when(tx.contains_any(text, MILITARY), "MILITARY").when(tx.contains_any(text, FINANCIAL), "FINANCIAL").otherwise("POLITICAL")
+    """The domain of a lower-cased text."""
+    return F.when(tx.contains_any(text, MILITARY, True), "MILITARY").when(tx.contains_any(text, FINANCIAL, True), "FINANCIAL").otherwise("POLITICAL")
 
 
 def priority_of(text: Column, matched: Column) -> Column:
-    return F.when(matched | tx.contains_any(text, ALARM), "HIGH").otherwise("NORMAL")
+    """The priority of a lower-cased text; ``matched``: a mission asks for it."""
+    return F.when(matched | tx.contains_any(text, ALARM, True), "HIGH").otherwise("NORMAL")
 
 
 def news_records(items: DataFrame, missions: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,17 +97,47 @@ def seismic_records(events: DataFrame, known: DataFrame) -> DataFrame:
     return new.withColumns({"priority": F.when(F.col("magnitude") >= 5.0, "HIGH").otherwise("NORMAL"), "confidence": F.lit(0.95)})
 
 
+def vessel_records(tracks: DataFrame) -> DataFrame:
+    """One record a vessel and hour, NORMAL and MILITARY."""
+    return first_in_hour(tracks, "mmsi", "time").withColumns({"priority": F.lit("NORMAL"), "domain": F.lit("MILITARY"), "content_hash": F.sha2(F.concat_ws("_", "mmsi", F.date_format("time", "yyyyMMddHH")), 256)})
+
+
 def document_chunks(docs: DataFrame, text: str, size: int = 1500, overlap: int = 200) -> DataFrame:
-    """One row a chunk: part, parts, chunk and its hash; first of equal chunks only."""
+    """One row a chunk: part from 1, parts, chunk and its hash."""
     rows = docs.select(*[c for c in docs.columns if c != text], tx.chunks(F.col(text), size, overlap).alias("_c"))
     cut = rows.select("*", F.size("_c").alias("parts"), F.posexplode("_c").alias("part", "chunk")).drop("_c")
     return cut.withColumns({"part": F.col("part") + 1, "content_hash": F.sha2("chunk", 256)})
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """A new snapshot: rows of ``new`` replace those of the same key, non-null values first."""
-    both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    return both.select(*(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in new.columns else F.col(f"o.{c}") for c in old.columns))
+def document_records(docs: DataFrame, known: DataFrame, text: str = "text", id_col: str = "doc_id", name: str = "source") -> DataFrame:
+    """New records of documents' chunks: of equal chunks the first (by id, then part) that is not in
+    ``known`` (content_hash). Null and empty texts have no chunks."""
+    cut = document_chunks(docs.select(id_col, name, text), text)
+    fresh = insert_if_absent(cut, known, ["content_hash"], id_col, "part")
+    headline = F.concat(F.col(name), F.lit(" - part "), F.col("part").cast("string"), F.lit("/"), F.col("parts").cast("string"))
+    return fresh.select(F.col("content_hash").alias("uid"), id_col, "part", headline.alias("content_headline"), F.col("chunk").alias("content_raw"), "content_hash", F.lit("HUMINT").alias("source_type"), F.lit("HIGH").alias("priority"), F.lit(0.8).alias("confidence"), F.lit("INVESTIGATIVE").alias("domain"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, *order: str, nulls: bool = False) -> DataFrame:
+    """A new snapshot: rows of ``new`` replace those of the same key, of several the last by
+    ``order``. Null values keep what was there, unless ``nulls``. Null keys are rows of their own."""
+    order = order or tuple(c for c in new.columns if c != key)
+    rest = [c for c in new.columns if c != key]
+    last = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *(c for c in rest if c not in order))).alias("_r")).select(key, *(F.col(f"_r.{c}") for c in rest))
+    both = old.alias("o").join(last.withColumn("_new", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    taken = lambda c: F.when(F.col("n._new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if nulls and c != key else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+    out = both.select(*(taken(c).alias(c) if c in new.columns else F.col(f"o.{c}") for c in old.columns))
+    keyless = new.where(F.col(key).isNull())
+    return out.unionByName(keyless, allowMissingColumns=True).select(*old.columns)
+
+
+def update_counts(old: DataFrame, seen: DataFrame, key: str, count: str, refs: str, time: str) -> DataFrame:
+    """Running counters: ``seen`` (key, uid, ts) adds its rows to ``count``, its uids to the list
+    ``refs`` and moves ``time`` on; keys that ``old`` does not have are ignored."""
+    delta = seen.groupBy(key).agg(F.count("*").alias("_n"), F.array_sort(F.collect_set("uid")).alias("_refs"), F.max("ts").alias("_t"))
+    kind = old.schema[count].dataType
+    both = old.join(delta, key, "left")
+    return both.withColumns({count: (F.coalesce(count, F.lit(0)) + F.coalesce("_n", F.lit(0))).cast(kind), refs: F.array_union(F.coalesce(refs, F.array()), F.coalesce("_refs", F.array())), time: F.greatest(time, "_t")}).select(*old.columns)
 
 
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:

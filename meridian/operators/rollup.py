@@ -12,9 +12,17 @@ def hourly_anomalies(tracks: DataFrame, limit: float = 0.7) -> DataFrame:
     return tracks.groupBy(F.date_trunc("hour", "time").alias("bucket")).agg(F.count_if(F.col("anomaly_score") > limit).alias("anomaly_count"), F.round(F.avg("anomaly_score"), 6).alias("avg_score"), F.count("lon").alias("n_positions"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"))
 
 
-def positions(tracks: DataFrame) -> DataFrame:
-    """Per hour the multipoint of all positions, sorted."""
-    return tracks.groupBy(F.date_trunc("hour", "time").alias("bucket")).agg(F.array_sort(F.collect_list(F.struct("lon", "lat"))).alias("points"))
+def sorted_chunks(df: DataFrame, key: str, order: list[str], name: str, size: int = 1000) -> DataFrame:
+    """(key, chunk from 0, name: at most ``size`` structs of ``order``): the rows of each key in
+    order. A key's rows are sorted, not gathered: no row of the result grows with the key."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    dealt = df.select(key, *order, F.floor(n / size).cast("int").alias("chunk"))
+    return dealt.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct(*order))).alias(name))
+
+
+def positions(tracks: DataFrame, size: int = 1000) -> DataFrame:
+    """Per hour the multipoint of all positions, sorted, in chunks: (bucket, chunk, points)."""
+    return sorted_chunks(tracks.select(F.date_trunc("hour", "time").alias("bucket"), "lon", "lat"), "bucket", ["lon", "lat"], "points", size)
 
 
 def best_per_key(df: DataFrame, key: str, *order) -> DataFrame:

@@ -58,10 +58,13 @@ def planar_parity(s, d):
 
 @query("spatiotemporal_pairs", fx.with_sql("records", f"SELECT a.uid AS uid_a, b.uid AS uid_b FROM records a JOIN records b ON a.uid < b.uid AND a.domain = b.domain AND abs(date_diff('minute', a.created_at, b.created_at)) <= 4320 AND {_hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 600000"))
 def spatiotemporal_pairs(s, d):
-    r = fx.records(s, d).where("domain is not null").select("uid", "domain", "created_at", "lon", "lat")
-    o = r.withColumnsRenamed({"uid": "uid_b", "domain": "domain_b", "created_at": "at_b"})
+    # records meet by cell, domain and span of 72 hours, each with the two spans beside it
+    span = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / (72 * 3600))
+    r = fx.records(s, d).where("domain is not null").select("uid", "domain", "created_at", "lon", "lat", span.alias("span"))
+    o = r.withColumnsRenamed({"uid": "uid_b", "domain": "domain_b", "created_at": "at_b"}).withColumn("span_b", F.explode(F.sequence(F.col("span") - 1, F.col("span") + 1))).drop("span")
     gap = F.abs(F.timestamp_diff("MINUTE", F.col("created_at"), F.col("at_b"))) <= 4320
-    return spatial.radius_join(r, o, 600_000, (F.col("uid") < F.col("uid_b")) & (F.col("domain") == F.col("domain_b")) & gap).select(F.col("uid").alias("uid_a"), "uid_b")
+    same = (F.col("span") == F.col("span_b")) & (F.col("domain") == F.col("domain_b"))
+    return spatial.radius_join(r, o, 600_000, same & (F.col("uid") < F.col("uid_b")) & gap).select(F.col("uid").alias("uid_a"), "uid_b")
 
 
 @query("orgs_near_clusters", fx.with_sql("clusters entities", f"SELECT DISTINCT cluster_id, entity_id FROM clusters c JOIN entities e ON entity_type = 'ORGANIZATION' AND status = 'ACTIVE' AND {_hav('c.lon', 'c.lat', 'e.lon', 'e.lat')} <= 1000000"))
@@ -192,8 +195,8 @@ SELECT x.uid, x.priority, x.trust, entity_id, round(m, 3) AS distance_m FROM x J
 def fusion_flagship(s, d):
     r = ingest.first_by(fx.records(s, d).select("content_hash", "uid", "source_name", "lon", "lat", "priority"), ["content_hash"], "uid")
     x = r.join(fx.sources(s, d), "source_name", "left").select("uid", F.coalesce("trust_score", F.lit(0.5)).alias("trust"), "lon", "lat", F.coalesce("priority", F.lit("NORMAL")).alias("priority"))
-    n = spatial.nearest(x.select("uid", "lon", "lat"), _anchors(s, d), "uid", "entity_id", 500_000)
-    top = x.join(n, "uid").orderBy((F.col("priority") == "CRITICAL").desc(), F.desc("trust"), "uid").limit(100)
+    n = spatial.nearest(x, _anchors(s, d), "uid", "entity_id", 500_000, keep=("priority", "trust"))
+    top = n.orderBy((F.col("priority") == "CRITICAL").desc(), F.desc("trust"), "uid").limit(100)
     return top.select("uid", "priority", "trust", "entity_id", F.round("distance_m", 3).alias("distance_m"))
 
 

@@ -159,10 +159,10 @@ def hourly_anomalies(s, d):
     return rollup.hourly_anomalies(fx.flights(s, d))
 
 
-@query("hourly_positions", fx.with_sql("flights", "SELECT date_trunc('hour', time) AS bucket, string_agg(printf('%.1f', lon) || ' ' || printf('%.1f', lat), ',' ORDER BY lon, lat) AS points FROM flights GROUP BY 1"))
+@query("hourly_positions", fx.with_sql("flights", "SELECT bucket, chunk, string_agg(printf('%.1f', lon) || ' ' || printf('%.1f', lat), ',' ORDER BY lon, lat) AS points FROM (SELECT date_trunc('hour', time) AS bucket, lon, lat, ((row_number() OVER (PARTITION BY date_trunc('hour', time) ORDER BY lon, lat) - 1) // 1000)::INT AS chunk FROM flights) GROUP BY ALL"))
 def hourly_positions(s, d):
     p = rollup.positions(fx.flights(s, d))
-    return p.select("bucket", F.array_join(F.transform("points", lambda x: F.concat_ws(" ", F.format_string("%.1f", x["lon"]), F.format_string("%.1f", x["lat"]))), ",").alias("points"))
+    return p.select("bucket", "chunk", F.array_join(F.transform("points", lambda x: F.concat_ws(" ", F.format_string("%.1f", x["lon"]), F.format_string("%.1f", x["lat"]))), ",").alias("points"))
 
 
 @query("system_health", fx.with_sql("records entities edges queue", "SELECT (SELECT count(*) FROM records) AS n_records, (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM queue WHERE status = 'PENDING') AS n_pending"))
@@ -175,10 +175,10 @@ def status_counts(s, d):
     return fx.queue(s, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("agent_heartbeats", fx.with_sql("queue", f"SELECT agent, max(created_at) FILTER (status = 'DONE') AS last_done, count(*) FILTER (status = 'FAILED' AND created_at > {_R7} - INTERVAL 48 HOUR) AS failures, coalesce(max(created_at) FILTER (status = 'DONE') < {_R7} - INTERVAL 30 MINUTE, true) AS stale FROM queue GROUP BY agent"))
+@query("agent_heartbeats", fx.with_sql("queue", f"SELECT agent, max(created_at) FILTER (status = 'DONE') AS last_done, count(*) FILTER (status = 'FAILED' AND created_at > {_R7} - INTERVAL 24 HOUR) AS failures, coalesce(max(created_at) FILTER (status = 'DONE') < {_R7} - INTERVAL 30 MINUTE, true) AS stale FROM queue GROUP BY agent"))
 def agent_heartbeats(s, d):
     done = F.max(F.when(F.col("status") == "DONE", F.col("created_at")))
-    g = fx.queue(s, d).groupBy("agent").agg(done.alias("last_done"), F.count_if((F.col("status") == "FAILED") & (F.col("created_at") > fx.as_of() - F.expr("INTERVAL 48 HOURS"))).alias("failures"))
+    g = fx.queue(s, d).groupBy("agent").agg(done.alias("last_done"), F.count_if((F.col("status") == "FAILED") & (F.col("created_at") > fx.as_of() - F.expr("INTERVAL 24 HOURS"))).alias("failures"))
     return g.withColumn("stale", F.coalesce(F.col("last_done") < fx.as_of() - F.expr("INTERVAL 30 MINUTES"), F.lit(True)))
 
 
@@ -187,11 +187,11 @@ def triple_domain_having(s, d):
     return rollup.cross_domain(fx.records(s, d), "source_name", ("OSINT", "GEOINT", "SIGINT"))
 
 
-@query("entity_deep_dive", fx.with_sql("edges entities", "SELECT entity_id, name, string_agg(edge_id || ':' || type, ',' ORDER BY edge_id, type) AS history, count(*) AS n_edges FROM entities JOIN edges ON a = entity_id WHERE entity_type = 'ORGANIZATION' GROUP BY entity_id, name"))
+@query("entity_deep_dive", fx.with_sql("edges entities", "SELECT entity_id, name, chunk, string_agg(edge_id || ':' || type, ',' ORDER BY edge_id, type) AS history, count(*) AS n_edges FROM (SELECT *, ((row_number() OVER (PARTITION BY a ORDER BY edge_id, type) - 1) // 1000)::INT AS chunk FROM edges) JOIN entities ON a = entity_id WHERE entity_type = 'ORGANIZATION' GROUP BY entity_id, name, chunk"))
 def entity_deep_dive(s, d):
-    h = fx.edges(s, d).groupBy(F.col("a").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("edge_id", "type"))).alias("h"))
+    h = rollup.sorted_chunks(fx.edges(s, d).select(F.col("a").alias("entity_id"), "edge_id", "type"), "entity_id", ["edge_id", "type"], "h")
     e = fx.entities(s, d).where("entity_type = 'ORGANIZATION'").join(h, "entity_id")
-    return e.select("entity_id", "name", F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["edge_id"].cast("string"), x["type"])), ",").alias("history"), F.size("h").cast("long").alias("n_edges"))
+    return e.select("entity_id", "name", "chunk", F.array_join(F.transform("h", lambda x: F.concat_ws(":", x["edge_id"].cast("string"), x["type"])), ",").alias("history"), F.size("h").cast("long").alias("n_edges"))
 
 
 @query("best_row_per_key", fx.with_sql("flights", "SELECT icao24, event_id, anomaly_score FROM (SELECT *, row_number() OVER (PARTITION BY icao24 ORDER BY anomaly_score DESC, time, event_id) AS n FROM flights) WHERE n = 1"))

@@ -16,6 +16,13 @@ def edge_view(edges: DataFrame, names: DataFrame, least: float | None = None) ->
     return kept.join(side("a", "subject"), "a").join(side("b", "object"), "b").select("subject", F.col("type").alias("predicate"), "object").distinct()
 
 
+def one_hop(edges: DataFrame, names: DataFrame, subject: str, predicate: str) -> DataFrame:
+    """(subject, object): where edges of one type lead from the entities of one name, distinct."""
+    start = names.where(F.col("name") == subject).select(F.col("entity_id").alias("a"), F.col("name").alias("subject"))
+    end = names.select(F.col("entity_id").alias("b"), F.col("name").alias("object"))
+    return edges.where(F.col("type") == predicate).join(start, "a").join(end, "b").select("subject", "object").distinct()
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both orientations as (edge_id, src, dst, type): an OR join becomes an equi-join."""
     out = edges.select("edge_id", F.col("a").alias("src"), F.col("b").alias("dst"), "type")

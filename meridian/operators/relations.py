@@ -58,3 +58,18 @@ def merge_entities(edges: DataFrame, mapping: DataFrame) -> DataFrame:
         to = mapping.select(F.col("secondary").alias(side), F.col("primary").alias(f"_{side}"))
         both = both.join(to, side, "left").withColumn(side, F.coalesce(f"_{side}", side)).drop(f"_{side}")
     return both.where("a <> b").groupBy("a", "b", "type").agg(F.max("confidence").alias("confidence"), F.sum("mention_count").alias("mention_count"))
+
+
+def merge_entity_rows(entities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Entity rows after a merge by ``mapping`` (secondary, primary): a primary gains the names and
+    aliases of its secondaries as aliases and their refs (sets, sorted) and mentions (summed);
+    secondaries go. Mappings whose primary is unknown change nothing; no primary is a secondary."""
+    known = mapping.join(entities.select(F.col("entity_id").alias("primary")), "primary", "left_semi")
+    gone = known.join(entities, F.col("secondary") == F.col("entity_id"))
+    names = F.array_union(F.array("name"), F.coalesce("aliases", F.array()))
+    extra = gone.select(F.col("primary").alias("entity_id"), names.alias("_names"), F.coalesce("uir_refs", F.array()).alias("_refs"), "mention_count")
+    gains = extra.groupBy("entity_id").agg(F.flatten(F.collect_set("_names")).alias("_names"), F.flatten(F.collect_set("_refs")).alias("_refs"), F.sum("mention_count").alias("_n"))
+    left = entities.join(known.select(F.col("secondary").alias("entity_id")), "entity_id", "left_anti").join(gains, "entity_id", "left")
+    joined = lambda mine, theirs: F.when(F.col(theirs).isNull(), F.col(mine)).otherwise(F.array_sort(F.array_union(F.coalesce(mine, F.array()), theirs)))
+    kind = entities.schema["mention_count"].dataType
+    return left.withColumns({"aliases": joined("aliases", "_names"), "uir_refs": joined("uir_refs", "_refs"), "mention_count": (F.col("mention_count") + F.coalesce("_n", F.lit(0))).cast(kind)}).select(*entities.columns)

@@ -52,10 +52,10 @@ def health(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def cross_domain(evidence: DataFrame, key: str, kinds: tuple[str, ...], kind: str = "source_type") -> DataFrame:
+def cross_domain(evidence: DataFrame, key: str | list[str], kinds: tuple[str, ...], kind: str = "source_type") -> DataFrame:
     """Keys with evidence of every kind, and how much of each."""
     counts = [F.count_if(F.col(kind) == k).alias(f"n_{k.lower()}") for k in kinds]
-    got = evidence.groupBy(key).agg(*counts)
+    got = evidence.groupBy(*([key] if isinstance(key, str) else key)).agg(*counts)
     for k in kinds:
         got = got.where(F.col(f"n_{k.lower()}") > 0)
     return got

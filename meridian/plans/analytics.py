@@ -204,7 +204,7 @@ def fusion_flagship(s, d):
 def leader_clusters(s, d):
     v = _vectors(s, d).select(F.col("vec_id").alias("vid"), "embedding")
     r = fx.records(s, d).select("uid", "client_id", "domain", "created_at", "lon", "lat")
-    return clusters.leader_clusters(r.join(v, F.col("uid") == F.col("vid"), "left"), 2_000_000, 0.0)
+    return clusters.leader_clusters(r.join(v, F.col("uid") == F.col("vid"), "left"), 2_000_000, 0.0).select("uid", "cluster_id")
 
 
 @query("lsh_topk")

@@ -73,11 +73,15 @@ def queue(spark, d):
     return e.select(F.col("event_id").alias("queue_id"), F.col("ts").alias("created_at"), status.alias("status"), level.alias("priority"), F.concat(F.lit("agent"), F.col("user_id") % 5).alias("agent"))
 
 
+def cluster_cell():
+    """The id of a record's cluster."""
+    return F.concat_ws("_", "domain", "client_id", F.floor(F.col("lon") / 30).cast("string"), F.floor(F.col("lat") / 30).cast("string"))
+
+
 def clusters(spark, d):
     """One cluster a cell of thirty degrees, domain and client of records with a place and domain."""
     r = records(spark, d).where("lon is not null and domain is not null")
-    cell = F.concat_ws("_", "domain", "client_id", F.floor(F.col("lon") / 30).cast("string"), F.floor(F.col("lat") / 30).cast("string"))
-    g = r.groupBy(cell.alias("cluster_id"), "domain", "client_id").agg(F.count("*").alias("uir_count"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.max("created_at").alias("updated_at"), F.max(F.coalesce(F.col("priority") == "CRITICAL", F.lit(False))).alias("hot"))
+    g = r.groupBy(cluster_cell().alias("cluster_id"), "domain", "client_id").agg(F.count("*").alias("uir_count"), F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat"), F.max("created_at").alias("updated_at"), F.max(F.coalesce(F.col("priority") == "CRITICAL", F.lit(False))).alias("hot"))
     return g.select("cluster_id", "domain", "client_id", "uir_count", "lon", "lat", "updated_at", F.when(F.col("hot"), "CRITICAL").otherwise("NORMAL").alias("priority"), F.when(F.col("uir_count") >= 2, "ACTIVE").otherwise("DORMANT").alias("status"))
 
 

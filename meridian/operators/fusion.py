@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridian import models
-from meridian.operators import graph, relations, spatial
+from meridian.operators import graph, relations, resolve, spatial
+from meridian.operators.clusters import cluster_rows, cluster_updates, leader_clusters
 from meridian.schemas import GLOBAL_CLIENT
 
 
@@ -49,6 +50,59 @@ def fuse(jobs: DataFrame, records: DataFrame, gazetteer: DataFrame, sources: Dat
     return status, relations.accrue(evidence_of(pairs, mine, sources))
 
 
+def in_vocabulary(relations_: DataFrame, predicate: str = "predicate") -> DataFrame:
+    """Rows whose predicate is one of the vocabulary's verbs, exactly."""
+    return relations_.where(F.col(predicate).isin(*sorted(models.VOCABULARY)))
+
+
+def fusion_job(queue: DataFrame, records: DataFrame, entities: DataFrame, clusters: DataFrame, missions: DataFrame, sources: DataFrame, gazetteer: DataFrame, embed=None, metres: float = 50_000.0, similar: float = 0.35) -> dict[str, DataFrame]:
+    """One batch of the whole fusion job over all pending rows of ``queue`` (queue_id, uir_uid, status).
+
+    ``records``: uid, created_at, client_id, domain, priority, source_name, mission_id,
+    content_headline, content_raw, lon, lat. ``entities``: as in ``resolve.resolve_mentions``.
+    ``clusters``: as in ``leader_clusters``, with status, uir_count and updated_at. ``gazetteer``:
+    (name, type) of one-word names. ``embed``: a function of a text column to a vector column.
+
+    Gives ``queue`` (queue_id, status, error_message, result_cluster), ``records`` (uid, cluster_id,
+    entities, lon, lat), ``new_clusters``, ``clusters`` (the old ones, counted on), ``mentions``
+    (resolved), ``new_entities`` and ``relations`` (accrued co-mentions). A job whose record is
+    missing fails. Intermediate results are written once.
+    """
+    embed = embed or models.embedder()
+    jobs = queue.where("status = 'PENDING'").select("queue_id", "uir_uid")
+    wanted = jobs.select(F.col("uir_uid").alias("uid")).distinct()
+    mission = missions.select(F.col("focus_id").alias("mission_id"), F.lower("category").alias("_category"), F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower).alias("_keywords"))
+    mine = records.join(wanted, "uid", "left_semi").join(mission, "mission_id", "left")
+    low = F.lower(F.coalesce("content_headline", F.lit("")))
+    hit = F.exists(F.coalesce("_keywords", F.array().cast("array<string>")), lambda k: F.contains(F.col("_low"), k)) | F.coalesce(F.contains(F.col("_low"), F.col("_category")), F.lit(False))
+    mine = mine.withColumn("_low", low).withColumn("keyword_hit", hit).withColumn("embedding", embed(F.col("_low")).cast("array<double>"))
+    mine = graph._cut(mine.drop("_low", "_category", "_keywords").withColumn("uid", F.col("uid").cast("string")))
+    places = entities.where("entity_type = 'LOCATION'").select("entity_id", "lon", "lat")
+    anchors = spatial.nearest(mine.select("uid", "lon", "lat"), places, "uid", "entity_id", 100_000)
+    cities = anchors.join(entities.select("entity_id", F.col("name").alias("city")), "entity_id").select("uid", "city")
+    assigned = graph._cut(leader_clusters(mine, metres, similar, existing=clusters.where("status = 'ACTIVE'")))
+    # entities: mentions in the order of the text, resolved against the snapshot
+    words = gazetteer.withColumn("entity_id", F.concat_ws("\x00", "name", "type"))
+    said = mentions(mine, words).select("uid", "position", F.split("entity_id", "\x00")[0].alias("name"), F.split("entity_id", "\x00")[1].alias("type"))
+    named = said.select("name").distinct().withColumn("embedding", embed(F.col("name")).cast("array<double>"))
+    asked = said.join(named, "name").join(mine.select("uid", "lon", "lat"), "uid")
+    found = graph._cut(resolve.resolve_mentions(asked, entities))
+    borrowed = resolve.borrowed_places(found, entities).withColumnsRenamed({"lon": "b_lon", "lat": "b_lat"})
+    names = found.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("entities"))
+    written = mine.select("uid", "lon", "lat").join(assigned.select("uid", "cluster_id"), "uid", "left").join(names, "uid", "left").join(borrowed, "uid", "left")
+    written = written.select("uid", "cluster_id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("lon", "b_lon").alias("lon"), F.coalesce("lat", "b_lat").alias("lat"))
+    done = jobs.withColumn("uid", F.col("uir_uid").cast("string")).join(written.select("uid", F.col("cluster_id").alias("result_cluster"), F.lit(True).alias("_hit")), "uid", "left")
+    status = done.select("queue_id", F.when(F.col("_hit"), "DONE").otherwise("FAILED").alias("status"), F.when(F.col("_hit").isNull(), "UIR record missing").alias("error_message"), "result_cluster")
+    pairs = co_mentions(found.select("uid", "entity_id", "position"))
+    return {
+        "queue": status, "records": written, "mentions": found,
+        "new_clusters": cluster_rows(mine.join(cities, "uid", "left"), assigned),
+        "clusters": cluster_updates(clusters, mine, assigned),
+        "new_entities": resolve.created_entities(found),
+        "relations": relations.accrue(evidence_of(pairs, mine, sources)),
+    }
+
+
 def without_rejected(edges: DataFrame, feedback: DataFrame) -> DataFrame:
     """Edges whose (subject, predicate, object) no client rejected."""
     bad = feedback.where(F.startswith("feedback_type", F.lit("REJECTED"))).select(F.col("original_subject").alias("a"), F.col("original_predicate").alias("type"), F.col("original_object").alias("b")).distinct()

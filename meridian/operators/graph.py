@@ -30,16 +30,23 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return out.unionByName(back)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the shared checkpoint folder."""
-    spark = df.sparkSession
+def shared_dir(spark) -> str:
+    """This application's folder below ``spark.checkpoint.dir``. On a single machine the setting may
+    be missing; on a cluster its nodes need a folder that they share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/meridian-{spark.sparkContext.applicationId}"
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Ends lineage in the shared checkpoint folder."""
+    path = f"{shared_dir(df.sparkSession)}/core-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def trails(edges: DataFrame, roots: DataFrame, hops: int, labels: list[str] | None = None, cut_every: int = 2) -> DataFrame:

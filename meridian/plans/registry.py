@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    for module in ("relational", "analytics", "composite", "resolution"):
+    for module in ("relational", "analytics", "composite", "resolution", "surface"):
         importlib.import_module(f"meridian.plans.{module}")
 
 

@@ -143,9 +143,9 @@ def spatial_by_confidence(s, d):
     return found.select("uid", "confidence", F.round(F.col("distance_m") / 1000, 3).alias("distance_km"))
 
 
-@query("location_dossier", fx.with_sql("entities records clusters", f"+ p AS (SELECT lon, lat FROM entities WHERE entity_type = 'LOCATION' AND name ILIKE '%france%' ORDER BY entity_id LIMIT 1) SELECT * FROM (SELECT 'HISTORY' AS kind, CAST(uid AS VARCHAR) AS id FROM records r, p WHERE source_type = 'OSINT' AND {_hav('p.lon', 'p.lat', 'r.lon', 'r.lat')} <= 2000000 ORDER BY created_at DESC, uid LIMIT 10) UNION ALL SELECT 'CLUSTER', cluster_id FROM clusters c, p WHERE status = 'ACTIVE' AND {_hav('p.lon', 'p.lat', 'c.lon', 'c.lat')} <= 2000000"))
+@query("location_dossier", fx.with_sql("entities records clusters", f"+ p AS (SELECT lon, lat FROM entities WHERE entity_type = 'LOCATION' AND name ILIKE 'nation#_12' ESCAPE '#' ORDER BY entity_id LIMIT 1) SELECT * FROM (SELECT 'HISTORY' AS kind, CAST(uid AS VARCHAR) AS id FROM records r, p WHERE source_type = 'OSINT' AND {_hav('p.lon', 'p.lat', 'r.lon', 'r.lat')} <= 2000000 ORDER BY created_at DESC, uid LIMIT 10) UNION ALL SELECT 'CLUSTER', cluster_id FROM clusters c, p WHERE status = 'ACTIVE' AND {_hav('p.lon', 'p.lat', 'c.lon', 'c.lat')} <= 2000000"))
 def location_dossier(s, d):
-    place = fx.entities(s, d).where((F.col("entity_type") == "LOCATION") & F.col("name").ilike("%france%")).orderBy("entity_id").limit(1).select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
+    place = fx.entities(s, d).where((F.col("entity_type") == "LOCATION") & F.col("name").ilike("nation\\_12")).orderBy("entity_id").limit(1).select(F.col("lon").alias("p_lon"), F.col("lat").alias("p_lat"))
     near = lambda df: df.crossJoin(F.broadcast(place)).where(geo.haversine_m(F.col("p_lon"), F.col("p_lat"), F.col("lon"), F.col("lat")) <= 2_000_000)
     past = near(fx.records(s, d).where("source_type = 'OSINT'").select("uid", "created_at", "lon", "lat")).orderBy(F.desc("created_at"), "uid").limit(10)
     live = near(fx.clusters(s, d).where("status = 'ACTIVE'"))
@@ -160,8 +160,8 @@ def recent_entities(s, d):
     return fx.entities(s, d).orderBy(F.desc("last_seen"), "entity_id").select("entity_id", "name", "last_seen").limit(10)
 
 
-_SIMILAR = ("%united%", "%ind%", "%an%")
-_LISTED = ("INDIA", "INDONESIA", "IRAN", "JAPAN", "UNITED STATES")
+_SIMILAR = ("%nation%", "supplier%1", "%000000002")
+_LISTED = ("NATION_1", "NATION_7", "SUPPLIER#000000001", "SUPPLIER#000000002", "SUPPLIER#000000003", "CUSTOMER#000000002")
 
 
 @query("listed_duplicates", fx.with_sql("entities", f"SELECT upper(name) AS name, count(*) AS n, sum(mention_count)::BIGINT AS mentions FROM entities WHERE ({' OR '.join(f'''name ILIKE '{p}' ''' for p in _SIMILAR)}) AND upper(name) IN {_LISTED} GROUP BY upper(name) ORDER BY mentions DESC, name LIMIT 20"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import signal
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from meridian.operators.relations import CAP, FIRST, KEY, MORE
 
 
 def hourly_rollup(tracks: DataFrame, late: str = "3 hours", limit: float = 0.7) -> DataFrame:
@@ -22,6 +27,41 @@ def hourly_first(tracks: DataFrame, key: str, late: str = "3 hours") -> DataFram
     return timed.withColumn("hour", F.date_trunc("hour", "time")).withColumn("slot", F.window("time", "1 hour")["end"]).dropDuplicatesWithinWatermark([key, "hour"]).drop("slot")
 
 
+def first_by_hash(records: DataFrame) -> DataFrame:
+    """Records of a stream whose content hash no earlier one had; those without a hash all pass. The
+    state is one hash a record, as in a table with a unique index."""
+    hashed = records.where("content_hash is not null").dropDuplicates(["content_hash"])
+    return hashed.unionByName(records.where("content_hash is null"))
+
+
+def running_counts(seen: DataFrame, key: str, time: str) -> DataFrame:
+    """Per key of a stream the rows so far and their newest time: keyed state of the engine."""
+    return seen.groupBy(key).agg(F.count("*").alias("mention_count"), F.max(time).alias("last_seen"))
+
+
+def accrual(evidence: DataFrame) -> DataFrame:
+    """``relations.accrue`` as a stream: (a, b, type, client_id, confidence, evidence_count,
+    mention_count) of every relationship that a batch touches.
+
+    State: confidence, both counts and the uids that counted. Within a batch evidence counts by time
+    and uid; over batches, by arrival. Rows without a client are left to the batch job."""
+    rows = evidence.where("client_id is not null").select(*KEY, F.col("uid").cast("string").alias("uid"), "ts", F.coalesce("trust", F.lit(0.5)).alias("trust"))
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        confidence, mentions, uids = state.get if state.exists else (None, 0, [])
+        counted = set(uids)
+        for row in pd.concat(list(frames)).sort_values(["ts", "uid"]).itertuples(index=False):
+            mentions += 1
+            if row.uid not in counted:
+                counted.add(row.uid)
+                confidence = FIRST * row.trust if confidence is None else min(CAP, confidence + MORE * row.trust)
+        state.update((confidence, mentions, sorted(counted)))
+        yield pd.DataFrame([(*key, confidence, len(counted), mentions)], columns=[*KEY, "confidence", "evidence_count", "mention_count"])
+
+    out = "a string, b string, type string, client_id string, confidence double, evidence_count long, mention_count long"
+    return rows.groupBy(*KEY).applyInPandasWithState(fold, out, "confidence double, mentions long, uids array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
 def queue_rows(records: DataFrame) -> DataFrame:
     """The analysis-queue row that each new record causes; ids are the record's, so replays agree."""
     return records.select(F.concat(F.lit("q-"), F.col("uid").cast("string")).alias("queue_id"), F.col("uid").alias("uir_uid"), F.lit("NEW_UIR").alias("trigger_type"), F.coalesce("priority", F.lit("NORMAL")).alias("priority"), F.lit("PENDING").alias("status"), "domain", "client_id")
@@ -46,6 +86,37 @@ def claim_order(queue: DataFrame) -> DataFrame:
     return queue.where("status = 'PENDING'").orderBy((F.col("priority") == "CRITICAL").desc(), "created_at", "queue_id")
 
 
+def claim(queue: DataFrame, worker: int, workers: int) -> DataFrame:
+    """The pending jobs of one of ``workers``, in claim order, marked as theirs: jobs are dealt by a
+    hash of their id, so no two workers claim the same one."""
+    mine = queue.where(F.pmod(F.xxhash64(F.col("queue_id").cast("string")), F.lit(workers)) == worker)
+    return claim_order(mine).withColumns({"status": F.lit("PROCESSING"), "assigned_agent": F.lit(f"analyst-{worker}")})
+
+
+def to_folder(rows: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
+    """Writes each batch below ``out`` in a folder of its id; a replayed batch overwrites itself."""
+    write = lambda df, number: df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    return rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark, out: str, keys: list[str]) -> DataFrame:
+    """The newest row a key of what ``to_folder`` wrote: the view that a refresh shows."""
+    rows = spark.read.parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
+
+
+def stop_on_signals(queries: list[StreamingQuery]) -> None:
+    """Stops the queries on SIGINT and SIGTERM; the checkpoint keeps what they have done."""
+
+    def stop(*_):
+        for q in queries:
+            q.stop()
+
+    for name in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(name, stop)
+
+
 def start_fusion(records: DataFrame, fuse: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Runs ``fuse`` on every micro-batch and writes its rows, the queue and the notifications
     below ``out``, in a folder of the batch id: a replayed batch overwrites itself. One query owns a

@@ -15,7 +15,7 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     """Great-circle distance in metres; null if any coordinate is null."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     h = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h)))
 
 
 def planar_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

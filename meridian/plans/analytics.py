@@ -11,7 +11,8 @@ from meridian.plans.registry import query
 
 
 def _hav(lon1, lat1, lon2, lat2):
-    return f"(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - ({lon1})) / 2), 2)))))"
+    h = f"pow(sin(radians({lat2} - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - ({lon1})) / 2), 2)"
+    return f"(CASE WHEN {lon1} + {lat1} + {lon2} + {lat2} IS NOT NULL THEN 2 * 6371008.8 * asin(sqrt(least(1.0, {h}))) END)"
 
 
 _NOW = f"TIMESTAMP '{fx.AS_OF}'"

@@ -145,3 +145,11 @@ def test_models_offline(spark):
     got = spark.createDataFrame([("Acme Corp", "acme corp "), ("Acme", "Zeta")], "a string, b string").select(models.same_entity(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [True, False]
     assert spark.createDataFrame([("x",), (None,)], "t string").select(F.size(models.embedder()("t"))).collect()[1][0] == 0
+
+
+def test_distance_of_nothing_is_null(spark):
+    from meridian.functions import geo
+
+    df = spark.createDataFrame([(None, 1.0), (2.0, None), (0.0, 0.0), (180.0, 0.0)], "lon double, lat double")
+    got = [r[0] for r in df.select(geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(0.0), F.lit(0.0))).collect()]
+    assert got[:2] == [None, None] and got[2] == 0.0 and round(got[3]) == 20015114

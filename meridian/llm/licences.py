@@ -8,9 +8,9 @@ paragraphs as the unknown class, gives each passage's family. Paragraphs without
 trained weights need for a family are not scored further: the bound that chooses those words proves
 that their prediction is the unknown class.
 
-The unknown class is calibrated: a family is predicted only above the probability that 99.9 % of all
-unknown passages (of paragraphs that no licence word marks and that resemble no template) stay
-below, by a histogram of their scores. A prediction counts once the family's template confirms it:
+The unknown class is calibrated: a family is predicted only above the probability that passages of
+at most one in a thousand unknown lines (of paragraphs that no licence word marks and that resemble
+no template) reach, by a histogram of their scores. A prediction counts once the family's template confirms it:
 the passage must hold most of a notice's bigrams, digits aside.
 """
 
@@ -77,14 +77,21 @@ def blocks(text: Column) -> Column:
     return F.split(text, r"\n(?:[\x20\t\r]*\n)+", -1)
 
 
+def holding(text: Column, gate: list[str]) -> Column:
+    """Whether a text may hold one of these words: all that do, and some more."""
+    return F.rlike(F.lower(text), F.lit(rf"(?<![a-z])(?:{'|'.join(map(re.escape, gate))})(?![a-z])")) if gate else F.lit(False)
+
+
 def passages(docs: DataFrame, text: str, key: list[str], gate: list[str] | None = None) -> DataFrame:
     """(key columns, words, grams): one row a passage with a word, of each line and of each run of
-    two or more lines. ``gate``: only passages that hold one of these words."""
+    two or more lines. ``gate``: only passages that hold one of these words; texts and lines that
+    cannot are left out before they are cut into words."""
+    gated = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, gate)).cast("array<string>"))
     body = F.coalesce(F.col(text), F.lit(""))
-    runs = F.filter(blocks(body), lambda x: F.rlike(x, F.lit(r"\S[^\n]*\n\s*\S")))
+    docs = docs if gate is None else docs.where(holding(body, gate))
+    runs = F.filter(blocks(body), lambda x: F.contains(F.btrim(x, F.lit("\x20\t\r\n")), F.lit("\n")))
     lines = docs.select(*key, F.explode(F.concat(F.split(body, "\n", -1), runs)).alias("_line"))
-    gated = lambda w: F.arrays_overlap(w, F.array(*map(F.lit, gate)).cast("array<string>"))
-    lines = lines if gate is None else lines.where(gated(_split(F.col("_line"))))
+    lines = lines if gate is None else lines.where(holding(F.col("_line"), gate))
     words = lines.select(*key, tokens(F.col("_line")).alias("_w")).where(F.size("_w") > 0)
     cuts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_w") - PASSAGE + STEP - 1), F.lit(STEP))
     cut = words.select(*key, F.explode(F.transform(cuts, lambda i: F.slice("_w", i + 1, PASSAGE))).alias("words"))
@@ -98,7 +105,7 @@ def _literal(s: str) -> str:
 
 def unmarked(docs: DataFrame, text: str) -> DataFrame:
     """(line): the runs of lines without a word that starts like "licence"."""
-    like = F.exists(tokens(F.col("line")), lambda w: F.startswith(w, F.lit("licen")))
+    like = F.contains(F.lower("line"), F.lit("licen")) & F.exists(tokens(F.col("line")), lambda w: F.startswith(w, F.lit("licen")))
     return docs.select(F.explode(blocks(F.coalesce(F.col(text), F.lit("")))).alias("line")).where(~like)
 
 
@@ -110,10 +117,12 @@ def notice_bigrams(notice: str) -> list[str]:
 
 def resembles(words: Column, share: float) -> Column:
     """Whether a passage holds ``share`` of the bigrams of any notice."""
-    mine, out = F.array_distinct(bigrams(words)), F.lit(False)
-    for theirs in (notice_bigrams(t) for ts in TEMPLATES.values() for t in ts):
-        out = out | (F.size(F.array_intersect(mine, F.array(*map(F.lit, theirs)))) / len(theirs) >= share)
-    return out
+    lists = [notice_bigrams(t) for ts in TEMPLATES.values() for t in ts]
+    notices = F.array(*(F.array(*map(F.lit, theirs)) for theirs in lists))
+    whole = F.array(*map(F.lit, sorted({g for theirs in lists for g in theirs})))
+    # the passage's bigrams of any notice at all, mostly none, are found once
+    near = F.transform(F.array(F.array_intersect(bigrams(words), whole)), lambda mine: (F.size(mine) > 0) & F.exists(notices, lambda n: F.size(F.array_intersect(mine, n)) >= share * F.size(n)))
+    return F.element_at(near, 1)
 
 
 def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: int, confirm: float) -> DataFrame:
@@ -131,24 +140,30 @@ def training_rows(spark: SparkSession, docs: DataFrame, text: str, negatives: in
 
 
 class Classifier:
-    """The trained model, its calibrated threshold and the words without which no family is likely."""
+    """The trained model, its calibrated threshold, the words without which no family is likely, and
+    ``candidates``: the rows of ``docs`` whose text may hold a family's passage at all."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, text: str = "text", negatives: int = 500, confirm: float = 0.6) -> None:
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
         # some thousand rows: few partitions, as every iteration is a job over them
-        rows = stored(training_rows(spark, docs, text, negatives, confirm).coalesce(2), "licence-training")
+        rows = stored(training_rows(spark, docs, text, negatives, confirm).coalesce(4), "licence-training")
         self.vectors = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(rows.where("label > 0"))
         fit = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.9, maxIter=60)
         self.model = fit.fit(self.vectors.transform(rows).where("not held or label > 0"))
         seen = rows.where("label = 0").select(F.explode("grams").alias("w")).where(F.col("w").isin([w for w in self.vectors.vocabulary if " " not in w]))
         common = dict(map(tuple, seen.groupBy("w").count().collect()))
         self.threshold = 0.5  # the least there is: passages without a word of its gate score below
-        self.threshold = self._calibrated(unmarked(docs, text), self._needed(common), confirm)
+        gate = self._needed(common)
+        self.candidates = stored(docs.where(holding(F.coalesce(F.col(text), F.lit("")), gate)), "licence-candidates")
+        self.threshold = self._calibrated(docs, text, gate, confirm)
         self.gate = self._needed(common)
 
-    def _calibrated(self, unknown: DataFrame, gate: list[str], confirm: float) -> float:
-        """The thousandth that at most one in a thousand unknown passages reaches, ``SUREST`` at most."""
-        total = passages(unknown, "line", []).count()
+    def _calibrated(self, docs: DataFrame, text: str, gate: list[str], confirm: float) -> float:
+        """The thousandth that unknown passages of at most one in a thousand lines reach, ``SUREST``
+        at most."""
+        body = F.coalesce(F.col(text), F.lit(""))
+        total = docs.agg(F.sum(F.length(body) - F.length(F.translate(body, "\n", "")) + 1)).first()[0] or 0
+        unknown = unmarked(self.candidates, text)
         # lines of a wrapped notice resemble it without being unknown
         high = self.predict(passages(unknown, "line", [], gate)).where(~resembles(F.col("words"), confirm / 2))
         bins = dict(map(tuple, high.groupBy(F.least(F.floor(F.col("p") * 1000), F.lit(999)).cast("int")).count().collect()))
@@ -205,8 +220,8 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", confirm: f
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col), F.col(text).alias("_text"))
     key = F.xxhash64(F.coalesce("_text", F.lit("")))
-    model = Classifier(spark, rows, "_text", negatives, confirm)
-    found = model.predict(passages(rows.select(key.alias("_key"), "_text"), "_text", ["_key"], model.gate))
+    model = Classifier(spark, rows.select(key.alias("_key"), "_text"), "_text", negatives, confirm)
+    found = model.predict(passages(model.candidates, "_text", ["_key"], model.gate))
     notices = spark.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(f)}, {_literal(t)})" for f, ts in TEMPLATES.items() for t in ts) + " AS t(family, notice)")
     notices = notices.select("family", F.array_distinct(bigrams(tokens(F.col("notice")))).alias("theirs"))
     hits = stored(found.select("_key", "family", F.array_distinct(bigrams(F.col("words"))).alias("mine")), "licence-hits").distinct()

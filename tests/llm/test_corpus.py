@@ -148,3 +148,59 @@ def test_jaccard_bridges_without_ids_on_any_partitioning(spark):
     for parts in (1, 2, 5):
         got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).where("doc_id is not null").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """All five stages in plain Python and SQL, on rows with null and repeated ids, repeated rows,
+    two texts of one id, and columns named like results."""
+    import duckdb
+
+    from meridian.llm import mixing
+    from tests.llm.test_text_operators import contamination, plain_secrets
+
+    rng = random.Random(23)
+    words = {"en": ["thing", "over", "with", "house", "green", "water"], "fr": ["quel", "dans", "pour", "maison", "vert", "eau"]}
+    prose = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    items = [(1, prose("en", 25)), (2, "thing over"), (3, None)]
+    rows = [(i, prose(k, rng.choice([40, 90])), k, f"s{i % 4}" if i % 9 else None) for i, k in enumerate(["en", "fr"] * 25)]
+    rows += [(100 + i, rows[i][1] + (" thing" if i % 2 else ""), rows[i][2], "s1") for i in range(0, 20, 3)]  # copies
+    rows += [rows[4], rows[4], (5, prose("fr", 50), "fr", "s2"), (None, prose("en", 60), "en", "s0"), (None, rows[8][1], "en", None)]
+    rows += [(200, items[0][1] + " house", "en", "s0"), (201, "1234 !!", "en", "s0"), (202, None, None, None), (203, prose("fr", 70) + " password = hunter2222 " + "0123456789abcdef" * 2, "fr", "s3"), (204, "", "fr", "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "items": F.lit("mine"), "score": F.lit(1), "_key": F.lit("k")})
+    labels = [(i, i % 2, 0) for i in range(0, 60, 3)]
+    for name, frame in (("documents", df), ("benchmark", spark.createDataFrame(items, "item_id long, text string")), ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))):
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, seen = df, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), df.schema)
+        assert docs.columns == df.columns, name
+        seen.append(sorted(((r.doc_id, r.text, r.source) for r in docs.collect()), key=repr))
+    # languages: every letter of these texts is in a learned language
+    left = [(i, t, s) for i, t, _, s in rows if t and any(c.isalpha() for c in t)]
+    assert seen[0] == sorted(left, key=repr)
+    # duplicates: one row a class, the least id, rows without an id last
+    group = classes([(k, t) for k, (_, t, _) in enumerate(left)])
+    for k in {g for _, g in group.values()}:
+        members = [left[j] for j in group if group[j][1] == k]
+        kept, ids = [r for r in seen[1] if r in members], [i for i, _, _ in members if i is not None]
+        assert len(kept) == 1 and kept[0][0] == (min(ids) if ids else None)
+    assert len(seen[1]) == len({g for _, g in group.values()})
+    dirty = lambda t: (lambda n, hit, _: hit > 0 and 20 * hit >= n)(*contamination(t, items))
+    assert seen[2] == sorted((r for r in seen[1] if not dirty(r[1])), key=repr)
+    # secrets: only the planted text changes
+    changed = [(a, b) for a, b in zip(seen[2], seen[3], strict=True) if a != b]
+    assert all(plain_secrets(a[1]) and not plain_secrets(b[1]) and "[SECRET]" in b[1] for a, b in changed)
+    assert len(changed) == sum(bool(plain_secrets(t)) for _, t, _ in seen[2])
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}))
+    con.register("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int").toPandas())
+    want = sorted((tuple(None if v != v else v for v in r) for r in con.sql(mixing.MIXING_SQL).df().astype(object).itertuples(index=False)), key=repr)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted((r.size, r.source_size, round(r.target, 6), r.taken) for r in got) == sorted((w[1], w[2], round(w[3], 6), w[4]) for w in want)
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

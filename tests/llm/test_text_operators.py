@@ -92,6 +92,41 @@ def test_language_learns_and_handles_edges(spark):
     assert {r.lang_pred for r in language_id.identify(df, nobody, keep_text=False).collect()} == {"und"}
 
 
+def test_language_equals_exact_trigram_shares(spark):
+    """The filter against dictionaries of trigrams: same language, nearly the same share."""
+    rng = random.Random(12)
+    stems = {"aa": "thonderlyingmax", "bb": "quelouvreçaêt", "cc": "überschnitzäk", "dd": "ñandúllociónya"}
+    word = lambda k: "".join(rng.choice(stems[k]) for _ in range(rng.randint(2, 8)))
+    rows = [(i, " ".join(word(k if rng.random() < 0.8 else "aa") for _ in range(rng.choice([1, 3, 40, 900]))), k) for i, k in enumerate(["aa", "bb", "cc", "dd"] * 60)]
+    rows += [(1000, "x" * 50_000, "aa"), (1001, "", "aa"), (1002, None, None), (1003, "a", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    least = 1e-3
+    model = language_id.train(df, least)
+
+    def grams(t):
+        b = f" {t.translate(LOW)} ".encode()
+        return [b[i : i + 3] for i in range(len(b) - 2)]
+
+    counts = {}
+    for _, t, k in rows:
+        if t is not None and k is not None:
+            for g in grams(t):
+                counts.setdefault(k, {})[g] = counts.get(k, {}).get(g, 0) + 1
+    known = {k: {g for g, n in c.items() if n / sum(c.values()) >= least} for k, c in counts.items()}
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for i, t, _ in rows:
+        if not t:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        mine = grams(t)
+        share = {k: sum(g in known[k] for g in mine) / len(mine) for k in sorted(known)}
+        best = sorted(share.values())
+        slack = 0.02 + 2 / len(mine)  # a false positive or two in a short text
+        assert abs(got[i].score - best[-1]) < slack
+        if best[-1] - best[-2] > 2 * slack:
+            assert share[got[i].lang_pred] == best[-1]
+
+
 def test_more_languages_than_one_mask_holds():
     import numpy as np
 
@@ -252,6 +287,50 @@ def test_quality_verdicts(spark):
     assert all(r.kept != r.base_failed for r in unlabelled)
 
 
+def test_quality_verdict_equals_brute_force(spark):
+    """Scores by walking each tree, and the threshold by trying all: every document's verdict."""
+    import numpy as np
+
+    from meridian.llm.common import hashed_sample
+
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(rng.randint(10, 120))) for _ in range(120)] + [" ".join(word().upper() + "##!" for _ in range(40)) for _ in range(15)] + [None, ""]
+    rows = [(i % 100, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[1])]  # repeated and null ids
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("anomaly", F.lit("clash"))
+    labels = spark.createDataFrame([(i, int(i >= 35 or i < 20)) for i in range(0, 100, 2)], "doc_id long, quality int")
+    trees, leaf = 7, 32
+    got = quality.judge(docs, labels, trees=trees, leaf_sample=leaf).collect()
+    names = [*quality.COUNTS, *quality._MORE]
+    measured = quality.measure(docs.drop("anomaly")).where(~quality.base_failed()).select("doc_id", *names)
+    data = hashed_sample(measured, F.col("doc_id"), trees * leaf).drop("doc_id").toPandas()
+    forest = quality.IsolationForest(quality.features({c: data[c].to_numpy(np.float64) for c in names}), trees, leaf)
+    assert len(data) == min(trees * leaf, measured.count()) and len(forest.trees) == trees
+
+    def score(counts):
+        x, total = quality.features({c: np.array([float(counts[c])]) for c in names})[0], 0.0
+        for feature, cut, left, right, length in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if x[feature[at]] < cut[at] else right[at]
+            total += length[at]
+        return 2 ** (-total / trees / forest.norm)
+
+    marks = dict(map(tuple, labels.collect()))
+    fails = lambda r: r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+    bins = [(min(int(score(r.asDict()) * 1000), 999), marks[r.doc_id]) for r in got if not fails(r) and r.doc_id in marks]
+    n_good = sum(q for _, q in bins)
+    best, limit = 0, 1001
+    for t in range(1001):
+        good, bad = sum(q for b, q in bins if b >= t), sum(1 - q for b, q in bins if b >= t)
+        if good <= 0.01 * max(1, n_good) and bad > good and bad >= best:
+            best, limit = bad, t
+    for r in got:
+        assert abs(r.anomaly - score(r.asDict())) < 1e-9
+        assert r.kept == (not fails(r) and score(r.asDict()) * 1000 < limit)
+    assert limit < 1001 and quality.judge(docs.where("false"), labels, trees=2, leaf_sample=8).count() == 0
+
+
 # -- mixing ------------------------------------------------------------------------------------
 
 
@@ -436,7 +515,7 @@ def test_licences_equal_brute_force_scorer(spark):
     at = {w: i for i, w in enumerate(model.vectors.vocabulary)}
 
     def families(t):
-        out, runs = set(), [r for r in re.split(r"\n(?:[\x20\t\r]*\n)+", t) if re.search(r"\S[^\n]*\n\s*\S", r)]
+        out, runs = set(), [r for r in re.split(r"\n(?:[\x20\t\r]*\n)+", t) if "\n" in r.strip(" \t\r\n")]
         for line in [*t.split("\n"), *runs]:
             words = re.findall("[^\x00-\x60\x7b-\x7f]+", line.lower())
             for i in range(0, max(1, len(words) - 30), 30):
@@ -457,3 +536,13 @@ def test_licences_equal_brute_force_scorer(spark):
     for i, t in enumerate([*texts, *special]):
         assert got[i].licences == families(t), t
     assert licences.scan(docs.where("false")).count() == 0
+
+
+def test_licences_in_long_lines_take_linear_time(spark):
+    import time
+
+    body = "lorem " * 300_000
+    df = spark.createDataFrame([(1, body + "Released under the MIT License. " + body), (2, "a\n" * 200_000)], "doc_id long, text string")
+    start = time.time()
+    found = licences.passages(df, "text", ["doc_id"]).groupBy("doc_id").count().collect()
+    assert dict(map(tuple, found))[1] == 20_001 - 1 and time.time() - start < 60

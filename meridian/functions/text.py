@@ -67,3 +67,16 @@ def token_passages(text: Column, size: int = 2000) -> Column:
     words = F.filter(F.split(collapse(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
     cut = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(0), F.size(w) - 1, F.lit(size)), lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))).otherwise(F.expr("cast(array() as array<string>)"))
     return bound(words, cut)
+
+
+def strip_fence(c: Column) -> Column:
+    """A model's answer without the fence of back-ticks around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*```[A-Za-z]*[ \t]*\n?", ""), r"\n?[ \t]*```\s*$", ""))
+
+
+def json_set(c: Column, key: str, value: Column) -> Column:
+    """A flat JSON object with ``key`` set to a text; null or broken objects count as empty. Values
+    come out as texts."""
+    old = F.coalesce(F.from_json(c, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+    others = F.map_filter(old, lambda k, _: k != key)
+    return F.to_json(F.map_concat(others, F.create_map(F.lit(key), value.cast("string"))))

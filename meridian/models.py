@@ -63,6 +63,23 @@ def extract(text: str | None, gazetteer: dict[str, str]) -> list[dict]:
     return [x for _, x in sorted(found, key=lambda x: x[0])]
 
 
+def extractor(gazetteer: dict[str, str]):
+    """A pandas UDF of ``extract``: a text's entities in order of first mention. A failing text gives
+    none."""
+
+    @F.pandas_udf("array<struct<name:string,type:string>>")
+    def run(s: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return extract(t, gazetteer)
+            except Exception:  # noqa: BLE001  a model failure is an empty result by contract
+                return []
+
+        return s.map(one)
+
+    return run
+
+
 def same_entity(a: Column, b: Column) -> Column:
     """Offline verification: names equal apart from case, or a short edit apart."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))

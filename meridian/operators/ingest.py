@@ -143,3 +143,13 @@ def update_counts(old: DataFrame, seen: DataFrame, key: str, count: str, refs: s
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows that a DELETE leaves: those for which the predicate is not true."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
+
+
+def compact(spark, path: str, out: str, mb: int = 256) -> DataFrame:
+    """A folder of Parquet files rewritten in files of about ``mb`` MB into ``out``: what is left of a
+    checkpoint and vacuum. The source stays as it is."""
+    found = spark.read.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    found.coalesce(max(1, -(-size // (mb << 20)))).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian import models
+from meridian.functions import text as tx
 from meridian.operators import fusion, graph, ingest
 from meridian.plans import fixtures as fx
 from meridian.plans.analytics import _hav
@@ -199,6 +201,47 @@ def retention(s, d):
     return jobs.retain(fx.read(s, d, "events"), "ts", fx.as_of(), "INTERVAL 7 DAYS").select("event_id")
 
 
+@query("seed_deck", "SELECT 'seed-' || substr(sha256(lower(name)), 1, 16) AS entity_id, name, entity_type, len(aliases)::INT AS n_aliases FROM (VALUES " + ", ".join(f"('{n}', '{t}', {list(a)}::VARCHAR[])" for n, t, a, _ in readers.SEEDS) + ") t(name, entity_type, aliases)")
+def seed_deck(s, d):
+    deck = readers.seed_deck(s)
+    seeded = ingest.insert_if_absent(deck.union(deck), deck.where("false"), ["entity_id"], "name")
+    return seeded.select("entity_id", "name", "entity_type", F.size("aliases").alias("n_aliases"))
+
+
+@query("json_set", "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS reason FROM events")
+def json_set(s, d):
+    e = fx.read(s, d, "events")
+    props = tx.json_set(F.col("props"), "reason", F.col("event_type"))
+    return e.select("event_id", F.get_json_object(props, "$.k").alias("k"), F.get_json_object(props, "$.reason").alias("reason"))
+
+
+@query("text_fallback", fx.with_sql("records", "SELECT uid, CASE WHEN uid % 3 = 0 THEN content_headline WHEN content_raw <> '' THEN substr(content_raw, 1, 20) ELSE '' END AS shown FROM records"))
+def text_fallback(s, d):
+    r = fx.records(s, d)
+    summary = F.when(F.col("uid") % 3 == 0, F.col("content_headline")).when(F.col("uid") % 3 == 1, "")
+    return r.select("uid", tx.first_text(summary, F.substring("content_raw", 1, 20)).alias("shown"))
+
+
+@query("graph_sync_batch", fx.with_sql("edges entities", "SELECT x.name AS subject, type AS predicate, y.name AS object FROM (SELECT * FROM edges ORDER BY edge_id, a, b, type, confidence LIMIT 1000) e JOIN entities x ON e.a = x.entity_id JOIN entities y ON e.b = y.entity_id GROUP BY ALL"))
+def graph_sync_batch(s, d):
+    # one batch: at most a thousand edges, no gate; ordered, so that it is the same batch
+    batch = fx.edges(s, d).orderBy("edge_id", "a", "b", "type", "confidence").limit(1000)
+    return graph.edge_view(batch, fx.entities(s, d).select("entity_id", "name"))
+
+
+@query("compaction", "SELECT count(*) AS n, sum(event_id)::BIGINT AS ids FROM events")
+def compaction(s, d):
+    path = _folder(s, "small-files")
+    fx.read(s, d, "events").repartition(16).write.parquet(path)
+    return ingest.compact(s, path, _folder(s, "compacted")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("entity_extraction")
+def entity_extraction(s, d):
+    found = models.extractor({"the": "CONCEPT", "que": "CONCEPT", "und": "GPE"})
+    return fx.read(s, d, "documents").select("doc_id", F.explode(found("text")).alias("e")).groupBy("e.name", "e.type").agg(F.count("*").alias("n"))
+
+
 # -- the whole fusion job --------------------------------------------------------------------------
 
 

@@ -104,3 +104,14 @@ def simulated_flights(spark: SparkSession) -> DataFrame:
 def simulated_vessels(spark: SparkSession) -> DataFrame:
     """Three constant ships, as a stand-in for a live feed."""
     return spark.sql("SELECT * FROM VALUES ('Aster', '200000001', 'CARGO', 'NL', 51.9, 4.1), ('Borage', '200000002', 'TANKER', 'GR', 37.9, 23.6), ('Clover', '200000003', 'FISHING', 'NO', 60.4, 5.3) AS t(name, mmsi, vessel_type, flag, lat, lon)")
+
+
+#: An invented deck of entities to start a graph with: name, type, aliases, watch status.
+SEEDS = (("Port of Aldermere", "LOCATION", ("Aldermere",), "NONE"), ("Brightwater Shipping", "ORGANIZATION", ("Brightwater", "BWS"), "ACTIVE"), ("Corvane Air", "ORGANIZATION", (), "ACTIVE"), ("Ilsa Marrow", "PERSON", ("I. Marrow",), "ACTIVE"), ("Tern Strait", "LOCATION", (), "NONE"))
+
+
+def seed_deck(spark: SparkSession) -> DataFrame:
+    """(entity_id, name, entity_type, aliases, watch_status) of the deck; ids follow the names, so that
+    seeding again adds nothing."""
+    rows = spark.createDataFrame([(n, t, list(a), w) for n, t, a, w in SEEDS], "name string, entity_type string, aliases array<string>, watch_status string")
+    return rows.select(F.concat(F.lit("seed-"), F.substring(F.sha2(F.lower("name"), 256), 1, 16)).alias("entity_id"), "*")

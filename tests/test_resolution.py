@@ -207,3 +207,15 @@ def test_tools_state_their_limits(spark):
     with pytest.raises(KeyError):
         t.call("no_such_tool")
     assert t.page("entities", "entity_id").count() == 1
+
+
+def test_json_set_fences_and_extraction(spark):
+    from meridian import models
+
+    df = spark.createDataFrame([('{"a":"1","b":2}',), (None,), ("broken{",)], "j string")
+    assert [r[0] for r in df.select(tx.json_set(F.col("j"), "b", F.lit("x"))).collect()] == ['{"a":"1","b":"x"}', '{"b":"x"}', '{"b":"x"}']
+    said = spark.createDataFrame([("```json\n{}\n```",), ("{}",), ("``` {} ```",), (None,)], "t string")
+    assert [r[0] for r in said.select(tx.strip_fence(F.col("t"))).collect()] == ["{}", "{}", "{}", None]
+    found = models.extractor({"Oslo": "GPE", "Acme": "ORGANIZATION"})
+    texts = spark.createDataFrame([("Acme left Oslo, Acme",), ("Acmeville",), (None,)], "t string")
+    assert [[(x.name, x.type) for x in r[0]] for r in texts.select(found("t")).collect()] == [[("Acme", "ORGANIZATION"), ("Oslo", "LOCATION")], [], []]

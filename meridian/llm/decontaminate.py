@@ -207,7 +207,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shard_words: int = 1_000_000, sample: int = 16, block_words: int = 2_000_000, keep_text: bool = True) -> DataFrame:
+def find_contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, shard_words: int = 1_000_000, sample: int = 16, block_words: int = 500_000, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` (``keep_text=False``: but the text) plus ``n_words``, ``hit_words``
     (merged word spans in occurrences), ``removal`` (the same in code points) and ``items`` (ids of
     items with occurrences, sorted as strings); columns of these names are replaced.

@@ -63,6 +63,26 @@ def test_components_by_star_rounds(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(31)}, 100: 0, 200: 200, 201: 200}
 
 
+def test_components_by_star_rounds_on_many_edges(spark, monkeypatch):
+    """The rounds that a cluster runs, against union-find: chains, stars and random graphs."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", 200)
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(1500)]
+    rng.shuffle(edges)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()))
+    assert got == {n: find(n) for a, b in edges if a != b for n in (a, b)}
+
+
 def test_jaccard_equals_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(3)
@@ -204,3 +224,12 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_jaccard_on_very_long_texts(spark):
+    rng = random.Random(31)
+    w = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    near = [x if i % 100 else "edit" for i, x in enumerate(w)]
+    rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(w[:20_000])), (4, "x " * 50_000)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

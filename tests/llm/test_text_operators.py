@@ -546,3 +546,26 @@ def test_licences_in_long_lines_take_linear_time(spark):
     start = time.time()
     found = licences.passages(df, "text", ["doc_id"]).groupBy("doc_id").count().collect()
     assert dict(map(tuple, found))[1] == 20_001 - 1 and time.time() - start < 60
+
+
+def test_secrets_many_spans_empty_tables_and_clashes(spark):
+    import time
+
+    text = " ".join(f"é{i} user_name=admin{i} AKIA{'A1' * 10} deadbeefdeadbeef{i % 10}" for i in range(7000))
+    df = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string").withColumns({"secret_base": F.lit("mine"), "secret_spans": F.lit(0)})
+    start = time.time()
+    got = secrets.find_secrets(df).select("doc_id", F.size("secret_base").alias("n"), F.size("secret_spans").alias("m"), secrets.redact(F.col("text"), F.col("secret_spans")).alias("t")).collect()
+    assert time.time() - start < 90
+    assert sorted((r.doc_id, r.n, r.m) for r in got) == [(1, 7000, 21000), (1, 7000, 21000), (2, 0, 0)]
+    assert all(r.t is None or (r.t.count("[SECRET]") == 21000 and "AKIA" not in r.t and r.t.startswith("é0 ")) for r in got)
+    assert secrets.find_secrets(df.where("false")).count() == 0
+    # weak parts alone are not reported: linking decides
+    alone = spark.createDataFrame([(1, "user_name=admin99"), (2, "deadbeefdeadbeef0"), (3, "user_name=admin99 deadbeefdeadbeef0")], "doc_id long, text string")
+    assert {r.doc_id: len(r.secret_spans) for r in secrets.find_secrets(alone).collect()} == {1: 0, 2: 0, 3: 2}
+
+
+def test_url_very_long_paths(spark):
+    urls = ["http://deep.org/" + "/".join(f"s{i}" for i in range(500)), "http://deep.org/" + "/".join(f"t{i}" for i in range(500)), "http://deep.org/a/" + "x" * 100_000, None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("html", F.lit("text"))
+    got = {r.page_id: r for r in url_filters.judge_urls(df, html="html").collect()}
+    assert len(got) == 4 and all(r.verdict == "allow" for r in got.values()) and got[0].template.count("/") == 500

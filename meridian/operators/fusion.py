@@ -161,17 +161,7 @@ def density_groups(points: DataFrame, metres: float, least: int, id_col: str = "
     near = graph._cut(spatial.radius_join(left, left.withColumnRenamed("i", "j"), metres).select("i", "j", "distance_m"))
     cores = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
     links = near.join(cores, "i").join(cores.withColumnRenamed("i", "j"), "j").select("i", "j")
-    label = graph._cut(cores.withColumn("g", F.col("i")))
-    for _ in range(rounds):
-        low = links.join(label.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("g").alias("m"))
-        hop = low.join(label.select(F.col("i").alias("m"), F.col("g").alias("mg")), "m", "left")
-        now = graph._cut(label.join(hop, "i", "left").select("i", F.least("g", "m", "mg").alias("g")))
-        same = now.join(label.withColumnRenamed("g", "old"), "i").where("g <> old").isEmpty()
-        label = now
-        if same:
-            break
-    else:
-        raise RuntimeError(f"groups did not settle in {rounds} rounds")
+    label = graph.smallest_label(cores, links, rounds)
     border = near.join(label.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min(F.struct("distance_m", "j", "g")).alias("b"))
     out = points.select(F.col(id_col).alias("i")).join(label, "i", "left").join(border, "i", "left")
     return out.select(F.col("i").alias(id_col), F.coalesce("g", "b.g").alias("group_id"), F.col("g").isNotNull().alias("core"))

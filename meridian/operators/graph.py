@@ -116,3 +116,20 @@ def expansion(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
 def degree(edges: DataFrame) -> DataFrame:
     """(node, degree) counting each touching edge once."""
     return edges.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def smallest_label(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(i, g): for each of ``nodes`` (i) the smallest node that ``links`` (i, j, both directions)
+    reach. Each round takes the smallest label of a node's neighbours and that label's own label, so
+    the rounds grow with the logarithm of a component's length; each is written once. Raises if
+    ``rounds`` do not suffice."""
+    links = _cut(links.where("i <> j").distinct())
+    label = _cut(nodes.select("i", F.col("i").alias("g")))
+    for _ in range(rounds):
+        low = links.join(label.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("g").alias("m"))
+        hop = low.join(label.select(F.col("i").alias("m"), F.col("g").alias("mg")), "m", "left")
+        now = _cut(label.join(hop, "i", "left").select("i", F.least("g", "m", "mg").alias("g"), (F.least("m", "mg") < F.col("g")).alias("moved")))
+        label = now.select("i", "g")
+        if now.where("moved").isEmpty():
+            return label
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")

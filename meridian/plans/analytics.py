@@ -224,3 +224,8 @@ def cluster_revisions(s, d):
 @query("vector_duplicates", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.3")
 def vector_duplicates(s, d):
     return vectors.similar_pairs(_vectors(s, d), 0.3, "vec_id")
+
+
+@query("vector_duplicate_classes", "WITH RECURSIVE p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.38), t AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT t.a, p.b FROM t JOIN p ON t.b = p.a), n AS (SELECT a, count(*) AS links FROM p GROUP BY a) SELECT t.a AS vec_id, coalesce(any_value(links), 0)::BIGINT AS links, min(t.b) AS class_id FROM t LEFT JOIN n ON n.a = t.a GROUP BY t.a")
+def vector_duplicate_classes(s, d):
+    return vectors.duplicate_classes(_vectors(s, d), 0.38, "vec_id")

@@ -191,7 +191,8 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 
 
 def threshold(counts: pd.DataFrame, lost: float) -> int:
-    """Bin from which documents are rejected; 1001: none is."""
+    """Bin from which documents are rejected; 1001: none is. Of the thresholds that reject most bad
+    documents, and of those fewest good ones, the middle: as far from the good as from the bad."""
     good, bad = np.zeros(1001), np.zeros(1001)
     good[counts["bin"].to_numpy(int)] = counts["good"]
     bad[counts["bin"].to_numpy(int)] = counts["bad"]
@@ -199,7 +200,11 @@ def threshold(counts: pd.DataFrame, lost: float) -> int:
         return 1001
     above_good, above_bad = good[::-1].cumsum()[::-1], bad[::-1].cumsum()[::-1]
     allowed = np.flatnonzero((above_good <= lost * max(1.0, good.sum())) & (above_bad > above_good))
-    return int(max(allowed[above_bad[allowed] == above_bad[allowed].max()])) if len(allowed) else 1001
+    if not len(allowed):
+        return 1001
+    best = allowed[above_bad[allowed] == above_bad[allowed].max()]
+    best = best[above_good[best] == above_good[best].min()]
+    return int((best[0] + best[-1] + 1) // 2)
 
 
 def quality_query(spark, sf_dir: str) -> DataFrame:

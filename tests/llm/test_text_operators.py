@@ -320,11 +320,13 @@ def test_quality_verdict_equals_brute_force(spark):
     fails = lambda r: r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
     bins = [(min(int(score(r.asDict()) * 1000), 999), marks[r.doc_id]) for r in got if not fails(r) and r.doc_id in marks]
     n_good = sum(q for _, q in bins)
-    best, limit = 0, 1001
+    tried = []
     for t in range(1001):
         good, bad = sum(q for b, q in bins if b >= t), sum(1 - q for b, q in bins if b >= t)
-        if good <= 0.01 * max(1, n_good) and bad > good and bad >= best:
-            best, limit = bad, t
+        if good <= 0.01 * max(1, n_good) and bad > good:
+            tried.append((-bad, good, t))
+    ends = [t for b, g, t in tried if (b, g) == min(tried)[:2]]
+    limit = (min(ends) + max(ends) + 1) // 2
     for r in got:
         assert abs(r.anomaly - score(r.asDict())) < 1e-9
         assert r.kept == (not fails(r) and score(r.asDict()) * 1000 < limit)

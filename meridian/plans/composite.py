@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from meridian.operators import fusion
 from meridian.plans import fixtures as fx
+from meridian.plans.analytics import _hav
 from meridian.plans.registry import query
 
 _NAMES = (("tion", "E1"), ("thing", "E2"), ("ches", "E3"), ("euxque", "E4"), ("hein", "E5"), ("ofer", "E6"), ("andor", "E7"), ("lynt", "E8"), ("with", "E9"))
@@ -74,6 +75,13 @@ def session_start(s, d):
     return fusion.session_start(fx.clusters(s, d), fx.queue(s, d), fx.as_of())
 
 
-@query("density_groups")
+_NEAR = _hav("a.lon", "a.lat", "b.lon", "b.lat")
+
+
+@query("density_groups", fx.with_sql("records", f"""+ n AS (SELECT a.uid AS i, b.uid AS j, {_NEAR} AS m FROM records a JOIN records b ON {_NEAR} <= 700000),
+c AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 4), l AS (SELECT n.i, n.j FROM n JOIN c x ON x.i = n.i JOIN c y ON y.i = n.j),
+t AS (SELECT i, i AS g FROM c UNION SELECT t.i, l.j FROM t JOIN l ON t.g = l.i), g AS (SELECT i, min(g) AS g FROM t GROUP BY i),
+b AS (SELECT i, g FROM (SELECT n.i, g.g, row_number() OVER (PARTITION BY n.i ORDER BY m, j) AS k FROM n JOIN g ON g.i = n.j) WHERE k = 1)
+SELECT uid, coalesce(g.g, b.g) AS group_id, g.g IS NOT NULL AS core FROM records LEFT JOIN g ON g.i = uid LEFT JOIN b ON b.i = uid""", True))
 def density_groups(s, d):
     return fusion.density_groups(fx.records(s, d).select("uid", "lon", "lat"), 700_000, 4)

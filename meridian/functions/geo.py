@@ -28,22 +28,29 @@ def degrees_of(metres: float) -> float:
     return math.degrees(metres / EARTH_M)
 
 
+def columns_of(size: float) -> tuple[int, float]:
+    """How many columns of cells of ``size`` degrees or a little more go round, and their width: all
+    are equally wide, so that a disc across 180 degrees meets the columns on the other side."""
+    wide = max(1, math.floor(360 / size))
+    return wide, 360 / wide
+
+
 def own_cell(lon: Column, lat: Column, size: float) -> Column:
     """The grid cell of a point as struct<x, y>; longitudes wrap at 180 degrees."""
-    wide = math.ceil(360 / size)
-    return F.struct(F.pmod(F.floor((lon + 180) / size), F.lit(wide)).alias("x"), F.floor((lat + 90) / size).alias("y"))
+    wide, across = columns_of(size)
+    return F.struct(F.pmod(F.floor((lon + 180) / across), F.lit(wide)).alias("x"), F.floor((lat + 90) / size).alias("y"))
 
 
 def cells_within(lon: Column, lat: Column, metres: float, size: float) -> Column:
     """All cells that a disc touches, as an array of struct<x, y>: widened by 1 / cos(latitude),
     all around where the disc holds a pole."""
     dlat = degrees_of(metres) * 1.001 + 1e-9
-    wide = math.ceil(360 / size)
+    wide, across = columns_of(size)
     edge = F.abs(lat) + dlat
     # widest longitude difference of a disc: asin(sin r / cos lat)
     ratio = F.least(F.lit(1.0), F.lit(math.sin(math.radians(min(dlat, 90)))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12)))
     dlon = F.when(edge >= 90, F.lit(180.0)).otherwise(F.degrees(F.asin(ratio)) + 1e-9)
-    x0, x1 = F.floor((lon - dlon + 180) / size), F.floor((lon + dlon + 180) / size)
+    x0, x1 = F.floor((lon - dlon + 180) / across), F.floor((lon + dlon + 180) / across)
     xs = F.array_distinct(F.transform(F.sequence(x0, F.least(x1, x0 + wide)), lambda x: F.pmod(x, F.lit(wide))))
     ys = F.sequence(F.floor((F.greatest(lat - dlat, F.lit(-90.0)) + 90) / size), F.floor((F.least(lat + dlat, F.lit(90.0)) + 90) / size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))

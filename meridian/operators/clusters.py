@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridian.functions.geo import EARTH_M
+from meridian.functions.geo import EARTH_M, columns_of
 from meridian.schemas import GLOBAL_CLIENT
 
 
@@ -18,12 +18,12 @@ class _Founders:
 
     def __init__(self, metres: float) -> None:
         self.metres, self.size = metres, math.degrees(metres / EARTH_M) * 1.01
-        self.wide = max(1, math.ceil(360 / self.size))
+        self.wide, self.across = columns_of(self.size)
         self.rows: dict[int, dict[int, list[int]]] = {}
         self.ids, self.lon, self.lat, self.unit = [], [], [], []
 
     def _cell(self, lon: float, lat: float) -> tuple[int, int]:
-        return math.floor((lat + 90) / self.size), math.floor((lon + 180) / self.size) % self.wide
+        return math.floor((lat + 90) / self.size), math.floor((lon + 180) / self.across) % self.wide
 
     def add(self, who, lon: float, lat: float, unit: np.ndarray) -> None:
         row, col = self._cell(lon, lat)
@@ -38,7 +38,7 @@ class _Founders:
         reach = math.radians(self.size)
         edge = math.cos(math.radians(lat))
         span = 180.0 if abs(lat) + self.size >= 90 or math.sin(min(reach, math.pi / 2)) >= edge else math.degrees(math.asin(math.sin(reach) / edge))
-        lo, hi = math.floor((lon - span + 180) / self.size), math.floor((lon + span + 180) / self.size)
+        lo, hi = math.floor((lon - span + 180) / self.across), math.floor((lon + span + 180) / self.across)
         row, found = self._cell(lon, lat)[0], []
         for y in (row - 1, row, row + 1):
             cells = self.rows.get(y)

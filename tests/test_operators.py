@@ -153,3 +153,25 @@ def test_distance_of_nothing_is_null(spark):
     df = spark.createDataFrame([(None, 1.0), (2.0, None), (0.0, 0.0), (180.0, 0.0)], "lon double, lat double")
     got = [r[0] for r in df.select(geo.haversine_m(F.col("lon"), F.col("lat"), F.lit(0.0), F.lit(0.0))).collect()]
     assert got[:2] == [None, None] and got[2] == 0.0 and round(got[3]) == 20015114
+
+
+def test_radius_join_across_the_antimeridian_at_any_cell_size(spark):
+    import random
+
+    rng = random.Random(8)
+    west, east = [(i, rng.uniform(-180, -172), rng.uniform(-60, 60)) for i in range(80)], [(i, rng.uniform(172, 180), rng.uniform(-60, 60)) for i in range(80)]
+    one, two = spark.createDataFrame(west, "i int, lon double, lat double"), spark.createDataFrame(east, "j int, lon double, lat double")
+    for metres in (200_000, 500_000, 600_000, 1_000_000):
+        for left, right in ((one, two), (two, one)):
+            got = {(r.i, r.j) for r in spatial.radius_join(left, right, metres).collect()}
+            far = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
+            other = right.withColumnsRenamed({"lon": "r_lon", "lat": "r_lat"})
+            assert got == {(r.i, r.j) for r in left.crossJoin(other).where(far <= metres).collect()} and got
+
+
+def test_leader_clusters_across_the_antimeridian(spark):
+    rows = [(1, "g", "X", 0, 177.0, 0.0, [1.0]), (2, "g", "X", 1, -179.5, 0.0, [1.0])]
+    df = spark.createDataFrame(rows, "uid long, client_id string, domain string, created_at int, lon double, lat double, embedding array<double>")
+    for first, second in ((1, 2), (2, 1)):
+        got = {r.uid: r.cluster_id for r in clusters.leader_clusters(df.withColumn("created_at", F.when(F.col("uid") == first, 0).otherwise(1)), 500_000.0, 0.0).collect()}
+        assert got == {first: first, second: first}

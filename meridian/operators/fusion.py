@@ -11,13 +11,22 @@ from meridian.operators.clusters import cluster_rows, cluster_updates, leader_cl
 from meridian.schemas import GLOBAL_CLIENT
 
 
+#: So many names of a gazetteer are sent to every task.
+SMALL_NAMES = 500_000
+
+
 def mentions(records: DataFrame, gazetteer: DataFrame, text: str = "content_raw") -> DataFrame:
     """(uid, entity_id, position): first mention of each one-word gazetteer name (name, entity_id)
-    in a record, by an equi-join on its distinct lower-cased words."""
+    in a record, by an equi-join on its lower-cased words. Words that are no name are dropped where
+    they are read, so that only names are shuffled; a gazetteer beyond what is broadcast by itself
+    is joined by a shuffle."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     at = records.select("uid", F.posexplode(words).alias("position", "word")).where("word <> ''")
-    first = at.groupBy("uid", "word").agg(F.min("position").alias("position"))
-    return first.join(gazetteer.select(F.lower("name").alias("word"), "entity_id"), "word").select("uid", "entity_id", "position")
+    names = gazetteer.select(F.lower("name").alias("word"), "entity_id")
+    known = names.select("word").distinct()
+    known = F.broadcast(known) if known.limit(SMALL_NAMES + 1).count() <= SMALL_NAMES else known
+    first = at.join(known, "word", "left_semi").groupBy("uid", "word").agg(F.min("position").alias("position"))
+    return first.join(names, "word").select("uid", "entity_id", "position")
 
 
 def co_mentions(found: DataFrame, span: int = 3) -> DataFrame:
@@ -157,14 +166,18 @@ def density_groups(points: DataFrame, metres: float, least: int, id_col: str = "
     """DBSCAN: (id_col, group_id, core). A core point has ``least`` points (itself included) within
     ``metres``; cores that reach each other share the smallest core's id; a border point goes to its
     nearest core's group; others are noise with a null group."""
-    left = points.select(F.col(id_col).alias("i"), "lon", "lat")
+    # rows at one place are one place of that weight: pairs are of places, however many rows they have
+    rows = points.select(F.col(id_col).alias("uid"), "lon", "lat")
+    spots = graph._cut(rows.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min("uid").alias("i"), F.count("*").alias("w")))
+    left = spots.select("i", "lon", "lat")
     near = graph._cut(spatial.radius_join(left, left.withColumnRenamed("i", "j"), metres).select("i", "j", "distance_m"))
-    cores = near.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("i")
+    weights = spots.select(F.col("i").alias("j"), "w")
+    cores = near.join(weights, "j").groupBy("i").agg(F.sum("w").alias("n")).where(F.col("n") >= least).select("i")
     links = near.join(cores, "i").join(cores.withColumnRenamed("i", "j"), "j").select("i", "j")
-    label = graph.smallest_label(cores, links, rounds)
+    label = graph._cut(graph.smallest_label(cores, links, rounds))
     border = near.join(label.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min(F.struct("distance_m", "j", "g")).alias("b"))
-    out = points.select(F.col(id_col).alias("i")).join(label, "i", "left").join(border, "i", "left")
-    return out.select(F.col("i").alias(id_col), F.coalesce("g", "b.g").alias("group_id"), F.col("g").isNotNull().alias("core"))
+    found = spots.join(label, "i", "left").join(border, "i", "left").select("lon", "lat", F.coalesce("g", "b.g").alias("group_id"), F.col("g").isNotNull().alias("core"))
+    return rows.join(found, ["lon", "lat"], "left").select(F.col("uid").alias(id_col), "group_id", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def session_start(clusters: DataFrame, queue: DataFrame, as_of: Column) -> DataFrame:

@@ -63,3 +63,21 @@ def test_session_start_and_derived(spark):
     q = spark.createDataFrame([("PENDING",), ("FAILED",), ("PENDING",)], "status string")
     assert tuple(fusion.session_start(c, q, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")).first()) == (2, 1, 1, 1)
     assert fusion.derived_records(c).first().content_headline == "MILITARY activity: 5 reports"
+
+
+def test_density_groups_pair_places_and_not_rows(spark, monkeypatch):
+    spots = [(i, float(i % 4 // 2) * 5, 50.0 + i % 2 * 0.01) for i in range(400)] + [(400, 40.0, 10.0), (401, None, 1.0)]
+    seen, join = [], fusion.spatial.radius_join
+    monkeypatch.setattr(fusion.spatial, "radius_join", lambda *a, **k: seen.append(join(*a, **k)) or seen[-1])
+    got = {r.uid: (r.group_id, r.core) for r in fusion.density_groups(spark.createDataFrame(spots, "uid long, lon double, lat double"), 25_000, 4).collect()}
+    assert got == {i: (i % 4 // 2 * 2, True) for i in range(400)} | {400: (None, False), 401: (None, False)}
+    assert seen[0].count() == 9
+
+
+def test_mentions_shuffle_names_only(spark):
+    texts = [(1, "Oslo and acme, ACME"), (2, "nothing"), (3, None), (4, "acme oslo")]
+    df = spark.createDataFrame(texts, "uid long, content_raw string")
+    found = fusion.mentions(df, spark.createDataFrame([("Acme", "E1"), ("Oslo", "E2"), ("acme", "E3")], "name string, entity_id string"))
+    assert sorted(map(tuple, found.collect())) == [(1, "E1", 2), (1, "E2", 0), (1, "E3", 2), (4, "E1", 0), (4, "E2", 1), (4, "E3", 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("LeftSemi") > plan.index("Aggregate")

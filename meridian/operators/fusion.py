@@ -168,7 +168,9 @@ def density_groups(points: DataFrame, metres: float, least: int, id_col: str = "
     nearest core's group; others are noise with a null group."""
     # rows at one place are one place of that weight: pairs are of places, however many rows they have
     rows = points.select(F.col(id_col).alias("uid"), "lon", "lat")
-    spots = graph._cut(rows.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min("uid").alias("i"), F.count("*").alias("w")))
+    spots = rows.where("lon is not null and lat is not null").groupBy("lon", "lat").agg(F.min("uid").alias("i"), F.count("*").alias("w"))
+    # the table is small and its pairs are many: it is kept in as many files as a shuffle has parts
+    spots = graph._cut(spots.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "i"))
     left = spots.select("i", "lon", "lat")
     near = graph._cut(spatial.radius_join(left, left.withColumnRenamed("i", "j"), metres).select("i", "j", "distance_m"))
     weights = spots.select(F.col("i").alias("j"), "w")

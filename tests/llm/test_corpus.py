@@ -1,12 +1,14 @@
 """Near duplicates, components and the pipeline against brute force."""
 
 import random
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from meridian.llm import components, ngram_join
+from meridian.llm import common, components, ngram_join
 
 
 def shingles(t):
@@ -233,3 +235,27 @@ def test_jaccard_on_very_long_texts(spark):
     rows = [(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(w[:20_000])), (4, "x " * 50_000)]
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_small_inputs_over_many_partitions_leave_few_files(spark):
+    # every file costs an executor two processes, each of which counts as large as itself while it starts
+    rng = random.Random(8)
+    word = lambda: rng.choice(("ab", "cd", "ef", "gh", "ij", "kl")) + str(rng.randrange(40))
+    bodies = [" ".join(word() for _ in range(40)) for _ in range(300)]
+    rows = [(i, bodies[i % 300] + (" end" if i // 300 == 1 else "")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(48)
+    home = Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(home.glob("*")) if home.exists() else set()
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {i: i % 300 for i in range(900)}
+    made = {p.name: len(list(p.glob("part-*"))) for p in set(home.glob("*")) - before}
+    assert {n.rpartition("-")[0] for n in made} >= {"jaccard-sets", "jaccard-copies", "jaccard-groups", "cc"}
+    assert max(made.values()) <= 12 and len(made) <= 8
+
+
+def test_shingles_are_made_of_bounded_pieces():
+    text = ["x" * (1 << 20)] * 9 + ["y" * (5 << 20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(text)], ["id", "text"])
+    pieces = list(ngram_join._slices([batch, batch.slice(0, 0)]))
+    assert pa.Table.from_batches(pieces) == pa.Table.from_batches([batch])
+    assert max(p.num_rows for p in pieces) <= 2

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.llm.common import LOWER, mix64, stored, table, texts
+from meridian.llm.common import LOWER, mix64, slices, stored, table, texts
 
 HASHES = 3
 UNKNOWN = "und"
@@ -51,7 +51,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 sums[lang] = keys, found[keys]
 
         waiting: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for t, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 g = _grams(_padded(t))
                 parts.setdefault(lang, []).append(g)
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, model: BitmaskFilter, text: str = "text", keep_tex
     kept = [c for c in names if keep_text or c != text]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = [held.value.predict(t) for t in texts(batch.column(names.index(text)))]
             same = [batch.column(names.index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*same, pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], [*kept, "lang_pred", "score"])

@@ -238,7 +238,6 @@ def test_jaccard_on_very_long_texts(spark):
 
 
 def test_small_inputs_over_many_partitions_leave_few_files(spark):
-    # every file costs an executor two processes, each of which counts as large as itself while it starts
     rng = random.Random(8)
     word = lambda: rng.choice(("ab", "cd", "ef", "gh", "ij", "kl")) + str(rng.randrange(40))
     bodies = [" ".join(word() for _ in range(40)) for _ in range(300)]
@@ -253,9 +252,9 @@ def test_small_inputs_over_many_partitions_leave_few_files(spark):
     assert max(made.values()) <= 12 and len(made) <= 8
 
 
-def test_shingles_are_made_of_bounded_pieces():
+def test_texts_are_read_in_bounded_pieces():
     text = ["x" * (1 << 20)] * 9 + ["y" * (5 << 20)] + [None, ""]
     batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(text)], ["id", "text"])
-    pieces = list(ngram_join._slices([batch, batch.slice(0, 0)]))
+    pieces = list(common.slices([batch, batch.slice(0, 0)]))
     assert pa.Table.from_batches(pieces) == pa.Table.from_batches([batch])
     assert max(p.num_rows for p in pieces) <= 2

@@ -258,3 +258,70 @@ def test_texts_are_read_in_bounded_pieces():
     pieces = list(common.slices([batch, batch.slice(0, 0)]))
     assert pa.Table.from_batches(pieces) == pa.Table.from_batches([batch])
     assert max(p.num_rows for p in pieces) <= 2
+
+
+def test_jaccard_passages_of_many_texts_join_no_sets(spark, monkeypatch):
+    """Passages that sixty texts each share, at a sketch too coarse to tell them from rare ones (as at
+    6 GB): they made one component of all sets, whose blocks were shuffled by the square."""
+    import random
+
+    rng, rows = random.Random(5), []
+    passages = [" ".join(f"p{i}x{j}" for j in range(9)) for i in range(20)]
+    for i in range(300):
+        words = [f"w{rng.getrandbits(40)}" for _ in range(200)]
+        rows.append((i, " ".join([*words[:100], *rng.sample(passages, 4), *words[100:]])))
+    near = rows[7][1].split()
+    rows += [(300 + i, " ".join([*near[:-i], *(f"z{i}y{j}" for j in range(i))])) for i in range(1, 4)]
+    groups, stored = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "sketch_bits", lambda total: 6)
+    monkeypatch.setattr(ngram_join, "stored", lambda df, label: groups.append((label, out := stored(df, label))) or out)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 7 if i > 300 else i for i, _ in rows}
+    members = dict(groups)["jaccard-groups"]
+    assert members.count() < 20, "sets that share passages alone are candidates"
+
+
+def test_jaccard_candidates_of_crowded_keys_hold_all_links():
+    """Sets of all kinds of crowding: the candidates connect whatever brute force links."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    chained = 0
+    for seed in range(12):
+        rng, sets = random.Random(seed), {}
+        common = [rng.getrandbits(57) for _ in range(rng.choice([400, 4000]))]
+        for _ in range(12):
+            base = rng.sample(common, rng.randint(3, 120))
+            for _ in range(rng.choice([1, 3, 12, 90])):
+                s = set(base)
+                for _ in range(rng.randint(0, max(1, len(base) // 8))):
+                    s.discard(rng.choice(base))
+                    s.add(rng.choice(common) if rng.random() < 0.5 else rng.getrandbits(57))
+                sets[tuple(sorted(s))] = s
+        n = np.array([len(s) for s in sets])
+        prefix = [np.array(s[: ngram_join.prefix_length(len(s), 80, 100) + ngram_join.shared_prefix(len(s)) - 1 + ngram_join.slack(len(s))], np.int64) for s in sets]
+        keys, length = np.concatenate(prefix), np.array([len(p) for p in prefix])
+        part, low = ngram_join._dealt(keys, 2)
+        filters = [ngram_join.RepeatFilter([ngram_join._filter_of(low[part == p], 2, least) for p in range(2)]) for least in (2, *(ngram_join._FEW * 4**i + 1 for i in range(ngram_join._LEVELS)))]
+        kept, told = ngram_join._chosen(filters, keys, n, length, 80, 100)
+        chained += int((told & 1).sum())
+        columns = [x[kept] for x in (keys, np.repeat(np.arange(len(n)), length), told)]
+        order = np.lexsort((columns[1], columns[2], columns[0]))
+        step = rng.choice([7, 500, 10**6])
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[order][i : i + step]) for x in columns], ["key", "node", "size"]) for i in range(0, len(order), step)]
+        met = {}
+        for batch in ngram_join._meetings(batches, 80, 100):
+            for pair in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                met[pair] = met.get(pair, 0) + 1
+        label = list(range(len(n)))
+        for (a, b, least), count in met.items():
+            if count >= least and label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+        listed = list(sets.values())
+        for i, s in enumerate(listed):
+            for j in range(i):
+                both = len(s & listed[j])
+                assert 100 * both < 80 * (len(s) + len(listed[j]) - both) or label[i] == label[j]
+    assert chained
